@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silt.llm import html, quality, warc
+from silt.llm import html, mixing, quality, warc
 from silt.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_derivatives(table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.copies(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.line_first_cleaning(docs).select(
