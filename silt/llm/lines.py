@@ -69,9 +69,11 @@ def _variants() -> str:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row a line with words: where (its place in the order), its words' hash, their number and half-line keys."""
-    line = F.posexplode(F.split("text", "\n")).alias("at", "line")
-    rows = docs.select("silt_order", "silt_doc", line).withColumn("w", _words("line")).withColumn("n", F.size("w"))
-    return rows.where("n > 0").select(
+    # Outer explodes: for inner ones Catalyst adds a filter on the array's size, which computes the array twice.
+    line = F.posexplode_outer(F.split("text", "\n")).alias("at", "line")
+    rows = docs.select("silt_order", "silt_doc", line).where(F.col("line").rlike(WORD))
+    rows = rows.withColumn("w", _words("line")).withColumn("n", F.size("w"))
+    return rows.select(
         F.struct("silt_order", "silt_doc", "at").alias("where"),
         F.xxhash64("n", "w").alias("line_key"),
         "n",
@@ -90,7 +92,7 @@ def removable(docs: DataFrame) -> DataFrame:
     """
     firsts = _lines(docs).groupBy("line_key", "n").agg(F.min("where").alias("where"), F.first("halves").alias("halves"))
     firsts = cut(firsts)
-    halves = firsts.where("halves is not null").select(F.explode("halves").alias("half"), "line_key")
+    halves = firsts.where("halves is not null").select(F.explode_outer("halves").alias("half"), "line_key")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
     shared = cut(shared)
     n_halves = shared.agg(F.sum("lines")).first()[0] or 0
@@ -101,14 +103,14 @@ def removable(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("where.silt_doc").alias("silt_doc"))
         .agg(F.collect_list(F.struct("where.at", "line_key")).alias("places"))
     )
-    place = F.explode("places").alias("place")
+    place = F.explode_outer("places").alias("place")
     found = docs.join(at, "silt_doc").select("silt_order", "silt_doc", F.split("text", "\n").alias("lines"), place)
     found = found.select(
         F.struct("silt_order", "silt_doc", F.col("place.at").alias("at")).alias("where"),
         F.col("place.line_key").alias("line_key"),
         _words(F.expr("lines[place.at]")).alias("w"),
     ).withColumn("n", F.size("w"))
-    variants = found.select("line_key", "where", F.explode(F.expr(_variants())).alias("v"))
+    variants = found.select("line_key", "where", F.explode_outer(F.expr(_variants())).alias("v"))
     variants = cut(variants.select("line_key", "where", "v.key", "v.place"))
     # Earliest whole line, earliest of all, and how many, under each key; then earliest at each place of a key.
     whole = F.min(F.when(F.col("place") == -1, F.col("where")))
