@@ -101,28 +101,31 @@ _LINK = re.compile(r"<(a|img|link|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 
 
-def derive(response: bytes) -> tuple[bytes, bytes]:
-    """The metadata and conversion records of one response record."""
-    headers, block = next(read_records(response))
+def derive(response: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of the metadata and of the conversion record of one response record."""
+    return _linked(*next(read_records(response)))
+
+
+def _linked(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     source = {k.lower(): v for k, v in headers}
     if source.get("warc-type") != "response":
         raise ValueError("derivatives are built from response records")
     status, http, payload = split_http(block)
-    of = source["warc-record-id"]
+    of, of_payload = source["warc-record-id"], digest(payload)
     linked = [
         ("WARC-Refers-To", of),
         ("WARC-Refers-To-Target-URI", source.get("warc-target-uri", "")),
         ("WARC-Refers-To-Date", source.get("warc-date", "")),
         ("WARC-Date", source.get("warc-date", "")),
         ("WARC-Target-URI", source.get("warc-target-uri", "")),
-        ("WARC-Source-Payload-Digest", digest(payload)),
+        ("WARC-Source-Payload-Digest", of_payload),
     ]
     html = payload.decode("utf-8", "replace")
     title = _TITLE.search(html)
     about = {
         "warc": headers,
         "http": {"status": status, "headers": http},
-        "payload": {"length": len(payload), "digest": digest(payload), "declared": source.get("warc-payload-digest")},
+        "payload": {"length": len(payload), "digest": of_payload, "declared": source.get("warc-payload-digest")},
         "html": {
             "title": " ".join(unescape(title[1]).split()) if title else None,
             "links": [[t.lower(), unescape(a or b or c)] for t, a, b, c in _LINK.findall(html)],
@@ -133,8 +136,8 @@ def derive(response: bytes) -> tuple[bytes, bytes]:
     out = []
     for kind, mime, body in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", text)):
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, of)), *linked]
-        out.append(write_record([*own, ("WARC-Block-Digest", digest(body)), ("Content-Type", mime)], body))
-    return out[0], out[1]
+        out.append(([*own, ("WARC-Block-Digest", digest(body)), ("Content-Type", mime)], body))
+    return out
 
 
 SCHEMA = (
@@ -154,13 +157,13 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             urls = part.column(part.schema.names.index("url")).to_pylist()
             rows = []
             for i, url, html in zip(ids, urls, as_bytes(part.column(part.schema.names.index("html")))):
-                response = response_record(i, url or "", html)
-                meta, conversion = derive(response)
-                (source, block), (m, mb), (c, cb) = (next(read_records(x)) for x in (response, meta, conversion))
+                source, block = next(read_records(response_record(i, url or "", html)))
+                derived = _linked(source, block)
+                (m, mb), (c, cb) = derived
+                records = b"".join(gzip.compress(write_record(*x), 1, mtime=0) for x in derived)
                 m, c, source = dict(m), dict(c), dict(source)
                 status, http, _ = split_http(block)
                 text = cb.decode("utf-8", "replace")
-                records = gzip.compress(meta, 6, mtime=0) + gzip.compress(conversion, 6, mtime=0)
                 rows.append(
                     (i, url, source["WARC-Record-ID"], m["WARC-Record-ID"], c["WARC-Record-ID"], c["WARC-Refers-To"])
                     + (c["WARC-Refers-To-Date"], c["WARC-Source-Payload-Digest"], m["WARC-Block-Digest"])
