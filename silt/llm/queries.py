@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import decontam, html, lines, mixing, quality, substring, warc
+from silt.llm import decontam, html, jaccard, lines, mixing, quality, substring, warc
 from silt.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark")).drop("silt_doc")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.join(docs).drop("silt_doc", "head_doc")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
