@@ -4,8 +4,8 @@ Texts become sets of hashed five-word shingles (a text of one to four words is o
 one class; the join is between classes, so exact copies cost one row each. BANDS x ROWS minima find two sets of
 similarity s with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. Classes are shuffled on band hashes; in each
 bucket they are compared with a centre, a member drawn anew for each band, not with each other, so a bucket of any size
-costs its members once. Classes that fail against a centre meet once more in buckets of two bands together, which
-texts below the threshold hardly share. A pair is thus found as a chain of links through centres, each of them
+costs its members once. Classes that fail against a centre meet MORE_CENTRES other members of each bucket, and one another in buckets of
+two bands together, which texts below the threshold hardly share. A pair is thus found as a chain of links through centres, each of them
 verified; classes are the connected components, which centres join as all pairs would.
 
 Every document gets class_id, the smallest doc_id of its component, and n_links, the verified links of its set to other
@@ -34,6 +34,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: Ways in which a bucket's centre is drawn; bands take them in turn.
 DRAWS = 5
+#: Further centres of a bucket, met by classes that failed against a first one.
+MORE_CENTRES = 4
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | U(1)
 _B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
@@ -122,12 +124,23 @@ def _verified(threshold: float):
     return run
 
 
-def _stars(keys: DataFrame, n_keys: int, threshold: float) -> DataFrame:
-    """Distinct (node, centre) from keys (key, node, n_grams, draw): each bucket's members with its centre."""
-    pick = F.struct(F.xxhash64("node", "draw").alias("by"), "node", "n_grams")
-    buckets = keys.groupBy("key").agg(F.min(pick).alias("pick"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    buckets = cut(buckets.select("key", "rows", F.col("pick.node").alias("centre"), F.col("pick.n_grams").alias("centre_grams")))
-    met = join_unique(keys.select("key", "node", "n_grams"), buckets, "key", "rows", n_keys, "inner")
+def _buckets(keys: DataFrame) -> DataFrame:
+    """key, rows and centres (centre, n_grams) of the buckets with several members; keys: key, node, n_grams, draw."""
+
+    def pick(turn: int):
+        by = F.xxhash64("node", F.col("draw") + DRAWS * turn).alias("by")
+        return F.min(F.struct(by, F.col("node").alias("centre"), F.col("n_grams").alias("centre_grams")))
+
+    picks = [pick(turn).alias(f"pick{turn}") for turn in range(1 + MORE_CENTRES)]
+    buckets = keys.groupBy("key").agg(*picks, F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return cut(buckets)
+
+
+def _stars(keys: DataFrame, buckets: DataFrame, turns: range, n_keys: int, threshold: float) -> DataFrame:
+    """Distinct (node, centre): the members in keys (key, node, n_grams) with their buckets' centres of those turns."""
+    centres = buckets.select("key", "rows", F.array(*[f"pick{t}" for t in turns]).alias("picks"))
+    met = join_unique(keys.select("key", "node", "n_grams"), centres, "key", "rows", n_keys, "inner")
+    met = met.select("node", "n_grams", F.explode_outer("picks").alias("pick")).select("node", "n_grams", "pick.*")
     # Sets whose sizes differ too much can't be similar enough.
     least, most = F.least("n_grams", "centre_grams"), F.greatest("n_grams", "centre_grams")
     met = met.where((F.col("node") != F.col("centre")) & (least >= most * F.lit(threshold - 1e-9)))
@@ -198,14 +211,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_classes = classes.count()
     one = classes.select("node", "n_grams", F.posexplode_outer("bands").alias("draw", "key"))
     one = one.withColumn("draw", F.col("draw") % DRAWS)
-    edges = cut(_stars(one, n_classes * BANDS, threshold))
+    buckets = _buckets(one)
+    edges = cut(_stars(one, buckets, range(1), n_classes * BANDS, threshold))
     found = cut(_verify(edges, docs, classes, threshold))
-    failed = found.where("not linked").select("node").union(found.where("not linked").select("centre")).distinct()
+    unlike = found.where("not linked")
+    failed = cut(unlike.select("node").union(unlike.select("centre")).distinct())
+    others = _stars(one.join(failed, "node", "left_semi"), buckets, range(1, 1 + MORE_CENTRES), n_classes * BANDS, threshold)
     pairs = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.get("bands", i), F.get("bands", j)) for i, j in combinations(range(BANDS), 2)])
-    two = classes.join(failed, "node").select("node", "n_grams", F.posexplode_outer(pairs).alias("draw", "key"))
-    two = cut(two.withColumn("draw", F.col("draw") % DRAWS))
-    again = _stars(two, two.count(), threshold).join(edges, ["node", "centre"], "left_anti")
-    more = _verify(cut(again), docs, classes, threshold)
+    two = classes.join(failed, "node", "left_semi").select("node", "n_grams", F.posexplode_outer(pairs).alias("draw", "key"))
+    two = two.withColumn("draw", F.col("draw") % DRAWS)
+    both = others.union(_stars(two, _buckets(two), range(1), n_classes * BANDS, threshold)).distinct()
+    more = _verify(cut(both.join(edges, ["node", "centre"], "left_anti")), docs, classes, threshold)
     links = found.union(more).where("linked").select("node", "centre")
     labels = components(links, classes.select("node"))
     labelled = classes.select("node", "first", "rows").join(labels, "node", "left")
