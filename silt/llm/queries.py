@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import decontam, html, jaccard, lines, lpf, mixing, quality, substring, warc
+from silt.llm import decontam, html, jaccard, lbl, lines, lpf, mixing, quality, substring, warc
 from silt.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
