@@ -3,7 +3,7 @@
 Texts become sets of hashed five-word shingles (a text of one to four words is one shingle). Texts with equal sets are
 one class; the join is between classes, so exact copies cost one row each. BANDS x ROWS minima find two sets of
 similarity s with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. Classes are shuffled on band hashes; in each
-bucket they are compared with a centre, a member drawn anew for each band, not with each other, so a bucket of any size
+bucket they are compared with a centre, the member first by a hash, not with each other, so a bucket of any size
 costs its members once. Classes that fail against a centre meet MORE_CENTRES other members of each bucket, and one another in buckets of
 two bands together, which texts below the threshold hardly share. A pair is thus found as a chain of links through centres, each of them
 verified; classes are the connected components, which centres join as all pairs would.
@@ -32,8 +32,6 @@ from silt.llm.textops import U, batches, mix, rolled, windows, words_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Ways in which a bucket's centre is drawn; bands take them in turn.
-DRAWS = 5
 #: Further centres of a bucket, met by classes that failed against a first one.
 MORE_CENTRES = 4
 
@@ -125,10 +123,11 @@ def _verified(threshold: float):
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """key, rows and centres (centre, n_grams) of the buckets with several members; keys: key, node, n_grams, draw."""
+    """key, rows and centres (centre, n_grams) of the buckets with several members; keys: key, node, n_grams."""
 
     def pick(turn: int):
-        by = F.xxhash64("node", F.col("draw") + DRAWS * turn).alias("by")
+        # One order of all nodes for each turn: buckets that share members tend to share their centre.
+        by = F.xxhash64("node", F.lit(turn)).alias("by")
         return F.min(F.struct(by, F.col("node").alias("centre"), F.col("n_grams").alias("centre_grams")))
 
     picks = [pick(turn).alias(f"pick{turn}") for turn in range(1 + MORE_CENTRES)]
@@ -209,8 +208,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("node", "first", "first.silt_doc", "rows", "n_grams", "bands")
     )
     n_classes = classes.count()
-    one = classes.select("node", "n_grams", F.posexplode_outer("bands").alias("draw", "key"))
-    one = one.withColumn("draw", F.col("draw") % DRAWS)
+    one = classes.select("node", "n_grams", F.explode_outer("bands").alias("key"))
     buckets = _buckets(one)
     edges = cut(_stars(one, buckets, range(1), n_classes * BANDS, threshold))
     found = cut(_verify(edges, docs, classes, threshold))
@@ -218,8 +216,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     failed = cut(unlike.select("node").union(unlike.select("centre")).distinct())
     others = _stars(one.join(failed, "node", "left_semi"), buckets, range(1, 1 + MORE_CENTRES), n_classes * BANDS, threshold)
     pairs = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.get("bands", i), F.get("bands", j)) for i, j in combinations(range(BANDS), 2)])
-    two = classes.join(failed, "node", "left_semi").select("node", "n_grams", F.posexplode_outer(pairs).alias("draw", "key"))
-    two = two.withColumn("draw", F.col("draw") % DRAWS)
+    two = classes.join(failed, "node", "left_semi").select("node", "n_grams", F.explode_outer(pairs).alias("key"))
     both = others.union(_stars(two, _buckets(two), range(1), n_classes * BANDS, threshold)).distinct()
     more = _verify(cut(both.join(edges, ["node", "centre"], "left_anti")), docs, classes, threshold)
     links = found.union(more).where("linked").select("node", "centre")

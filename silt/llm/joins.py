@@ -21,11 +21,10 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, rows: str, total: in
     hot = small.where(F.col(rows) > limit).select(F.col(key).alias("silt_hot"), F.struct(*cols).alias("silt_hot_row"))
     cold = small.where(F.col(rows) <= limit).select(F.col(key).alias("silt_cold"), F.struct(*cols).alias("silt_cold_row"))
     out = big.join(F.broadcast(hot), F.col(key) == F.col("silt_hot"), "left")
-    out = out.withColumn("silt_salt", F.when(F.col("silt_hot").isNotNull(), F.xxhash64(*_hashable(big))).otherwise(F.lit(0)))
-    out = out.withColumn("silt_key", F.when(F.col("silt_hot").isNull(), F.col(key)))
-    cold = cold.withColumn("silt_zero", F.lit(0).cast("bigint"))
-    met = (F.col("silt_key") == F.col("silt_cold")) & (F.col("silt_salt") == F.col("silt_zero"))
-    out = out.join(cold, met, "left").withColumn("silt_row", F.coalesce("silt_hot_row", "silt_cold_row"))
+    is_hot, spread = F.col("silt_hot").isNotNull(), F.xxhash64(*_hashable(big)).cast(big.schema[key].dataType)
+    out = out.withColumn("silt_key", F.when(is_hot, spread).otherwise(F.col(key)))
+    out = out.join(cold, (F.col("silt_key") == F.col("silt_cold")) & ~is_hot, "left")
+    out = out.withColumn("silt_row", F.coalesce("silt_hot_row", "silt_cold_row"))
     if how == "inner":
         out = out.where(F.col("silt_row").isNotNull())
     return out.select(*big.columns, *[F.col(f"silt_row.{c}").alias(c) for c in cols])
