@@ -32,7 +32,7 @@ MIN_MATCH = 13
 BROADCAST_WINDOWS = 2_000_000
 
 #: Placeholders: private-use characters, name, number and unit.
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
     "mm|cm|km|m|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|ft|inch(?:es)?|yards?|mg|kg|g|grams?|kilograms?"
     "|tons?|tonnes?|pounds?|lbs?|ounces?|oz|ml|l|liters?|litres?|gallons?|ms|s|sec|seconds?|min|minutes?|h|hours?|days?"
@@ -55,7 +55,7 @@ def tokens(text: Column, keep: str = "") -> Column:
 
 
 def _canonical(token: Column) -> Column:
-    return F.when((token >= NAME) & (token < ""), F.substring(token, 1, 1)).otherwise(token)
+    return F.when((token >= NAME) & (token < AFTER), F.substring(token, 1, 1)).otherwise(token)
 
 
 def _hashes(canon: str, stride: int) -> Column:
@@ -78,7 +78,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("hash", _hashes("item", 1))
     n_windows, shortest = items.agg(F.sum(F.size("hash")), F.min(F.size("own"))).first()
     stride = max(1, min(STRIDE, (shortest or WINDOW) - WINDOW + 1))
-    literal = f"size(filter(slice(item, j + 1, {WINDOW}), x -> x < '{NAME}' or x >= '')) >= {MIN_LITERAL}"
+    literal = f"size(filter(slice(item, j + 1, {WINDOW}), x -> x < '{NAME}' or x >= '{AFTER}')) >= {MIN_LITERAL}"
     windows = items.select("item_id", "own", F.posexplode("hash").alias("j", "hash"), "item").where(F.expr(literal))
     if (n_windows or 0) <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = F.transform("met", _canonical)
     found = found.withColumn("pairs", F.arrays_zip("own", "met", "item", met.alias("canon")))
     found = found.withColumn("pairs", F.expr("filter(pairs, x -> x.item = x.canon)"))
-    slots = f"filter(pairs, x -> x.item >= '{NAME}' and x.item < '')"
+    slots = f"filter(pairs, x -> x.item >= '{NAME}' and x.item < '{AFTER}')"
     found = found.withColumn("slots", F.expr(f"transform({slots}, x -> named_struct('own', x.own, 'met', x.met))"))
     found = found.select(
         "doc_id", "silt_doc", "item_id", F.size("own").alias("n_tokens"), F.size("pairs").alias("n_matched"),
