@@ -34,5 +34,6 @@ def range_join(left: DataFrame, value: Column, ranges: DataFrame, low: str, high
     """
     cells = ranges.withColumn("silt_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     keyed = left.withColumn("silt_value", value).withColumn("silt_cell", F.floor(F.col("silt_value") / width))
-    out = keyed.join(cells, "silt_cell", "left").where(F.col(low).isNull() | F.col("silt_value").between(F.col(low), F.col(high)))
-    return out.drop("silt_cell", "silt_value")
+    cells = cells.withColumnRenamed("silt_cell", "silt_range_cell")
+    met = (F.col("silt_cell") == F.col("silt_range_cell")) & F.col("silt_value").between(F.col(low), F.col(high))
+    return keyed.join(cells, met, "left").drop("silt_cell", "silt_range_cell", "silt_value")
