@@ -26,6 +26,8 @@ LAST = (1 << 63) - 1
 BLOCK_BYTES = 5 << 19
 #: Input bytes a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: Buckets of a small input: a block sends a row to each, so their number isn't raised with the partitions.
+LEAST_BUCKETS = 64
 
 ASK = "bucket int, block int, level int, data binary"
 
@@ -35,7 +37,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     n = pieces(docs, BLOCK_BYTES)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")))
     base = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return base, max(shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // BUCKET_BYTES))
+    return base, max(min(LEAST_BUCKETS, shuffle_partitions(docs.sparkSession)), -(-input_bytes(docs) // BUCKET_BYTES))
 
 
 def one(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:

@@ -33,8 +33,8 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def pieces(df: DataFrame, piece_bytes: int) -> int:
-    """How many parts to cut df into: two per shuffle partition, more if a part would pass piece_bytes."""
-    return max(2 * shuffle_partitions(df.sparkSession), -(-input_bytes(df) // piece_bytes))
+    """How many parts to cut df into: one per shuffle partition, more if a part would pass piece_bytes."""
+    return max(shuffle_partitions(df.sparkSession), -(-input_bytes(df) // piece_bytes))
 
 
 def shared_dir(spark: SparkSession) -> str:
