@@ -15,6 +15,10 @@ from pyspark.sql.types import StructField, StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What Catalyst says of data that it knows nothing about is above this.
+UNKNOWN_BYTES = 1 << 55
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,12 +28,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the input: file sizes for a file scan, no job is run.
+    """Catalyst's size estimate of the input: file sizes for a file scan; text bytes, counted, where it has none.
 
     It only picks how finely work is cut; no result depends on it.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 62)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    texts = [F.octet_length(f"`{c}`") for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.agg(*[F.sum(t) for t in texts]).first() if texts else [0]
+    return sum(x or 0 for x in size)
 
 
 def pieces(df: DataFrame, piece_bytes: int) -> int:

@@ -86,10 +86,10 @@ def repeat_words(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, n
         doc = np.repeat(np.arange(b - a), w.count)
         key = mix(h + mix(doc[start].astype(np.uint64)))
         order = np.argsort(key)
-        same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
-        twice = start[order[same[1:] | same[:-1]]]
+        same = key[order][1:] == key[order][:-1]
+        twice = start[np.concatenate([order[1:][same], order[:-1][same]])]
         total.append(w.count)
-        repeated.append(per_doc(w.first, covered(w.hash.size, twice, width)))
+        repeated.append(per_doc(w.first, covered(w.hash.size, np.unique(twice), width)))
     return (np.concatenate(total), np.concatenate(repeated)) if total else (np.empty(0, int), np.empty(0, int))
 
 
