@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,13 +67,47 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path not used before in the shared folder, deleted when the driver's JVM ends."""
+    """A path not used before in the shared folder, deleted when the driver's JVM ends, or see step()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    if _made is not None:
+        _made.append(path)
     return path
 
 
+_made: list[str] | None = None
+_steps: list[tuple[weakref.ref, list[str]]] = []
+
+
+def step(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For steps of a pipeline, whose results are written before they are let go: the tables that a step has cut go when
+    another starts and nothing holds the step's result any more."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        global _made
+        for held in [x for x in _steps if x[0]() is None]:
+            _steps.remove(held)
+            for path in held[1]:
+                where, fs = _hadoop(spark, path)
+                fs.delete(where, True)
+        _made = []
+        try:
+            out = fn(spark, *args)
+            _steps.append((weakref.ref(out), _made))
+        finally:
+            _made = None
+        return out
+
+    return run
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df less the columns that an operator is about to add (names are compared as Spark does, ignoring case)."""
     taken = {n.lower() for n in names}

@@ -1,7 +1,7 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what stays of docs, in docs' columns.
 
 All but the last return the columns of documents; nulls, repeated rows and empty tables are treated as the operators'
-docstrings say.
+docstrings say. A stage's result is written before it is let go, see common.step.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import decontam, jaccard, lines, mixing, quality
-from silt.llm.common import WORD, table
+from silt.llm.common import WORD, step, table
 
 
+@step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; their texts stay as they are."""
     columns = docs.columns
@@ -20,6 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*columns)
 
 
+@step
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated lines; one that lost lines and has no words left goes."""
     out = lines.dedup_lines(docs)
@@ -31,16 +33,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@step
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest doc_id."""
     return jaccard.one_of_each(docs)
 
 
+@step
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak of a benchmark item."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@step
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, numbered by `copy`."""
     return mixing.mix(docs)

@@ -10,10 +10,14 @@ def test_stages_in_order():
 def test_stages_keep_columns_and_survive_odd_rows(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, "a benchmark text of some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for df in (odd_docs, no_docs):
-        docs = df
+        docs, columns = df, []
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, str(tmp_path))
-            assert docs.columns == df.columns, name
+            out = stage(spark, docs, str(tmp_path))
+            columns.append(out.columns)
+            path = f"{tmp_path}/{name}"
+            out.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+        assert columns == [df.columns] * 4
         assert set(df.columns) <= set(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns)
 
 
