@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm import decontam, html, jaccard, lbl, lines, lpf, mixing, quality, substring, warc
+from silt.llm import decontam, html, jaccard, lbl, lines, lpf, mixing, oracles, quality, substring, warc
 from silt.llm.common import table
 
 
@@ -69,4 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_rules": oracles.QUALITY,
+        "op7_substring_dedup": oracles.SUBSTRING,
+        "op10_suffix_array_dedup": oracles.SUFFIXES,
+    }
