@@ -32,7 +32,7 @@ from silt.llm.textops import BYTE_KEY, U, batches, mix, rolled
 LENGTH = 100
 GRAM = 36
 #: Suffixes that one suffix array holds, about; an anchor's strings are never parted.
-SUFFIXES = 300_000
+SUFFIXES = 100_000
 
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
@@ -55,7 +55,7 @@ class Runs:
 
     def __init__(self, texts: list[bytes], length: int, gram: int) -> None:
         parts: list[list[np.ndarray]] = []
-        for a, b in batches(texts):
+        for a, b in batches(texts, 1 << 18):
             parts.append(self._of(texts[a:b], a, length, gram))
         cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
         self.doc, self.first, self.last, self.anchor, self.gram, self.whole = cols
@@ -92,7 +92,8 @@ class Runs:
         p = anchor[first]
         whole = mix(whole ^ mix(((last - first) * 256 + (p - first)).astype(np.uint64)))
         d, start = doc[first], (end - sizes)[doc[first]]
-        return [d + base, first - start, last - start, p - start, h[p], whole]
+        # Anchors have small hashes, being the least of their strings: mixed again, they spread over all buckets.
+        return [d + base, first - start, last - start, p - start, mix(h[p] + U(1)), whole]
 
 
 class _Kinds:
@@ -167,6 +168,8 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.nda
         word |= words[i : i + word.size].astype(np.uint64) << U(56 - 8 * i)
     n = start.size
     order, lcp = np.arange(n), np.zeros(n, np.int64)
+    if not n:
+        return order, lcp
     tied = np.arange(n)  # places in the order that are still open
     group = np.zeros(n, np.int64)
     for at in range(0, depth, 8):
