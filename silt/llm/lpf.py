@@ -12,6 +12,10 @@ prefixes; for each suffix, the nearest suffixes in that order that start earlier
 the position) give the longest previous factor, and LENGTH or more marks a later copy. Exact copies thus never reach a
 suffix array, nor does text that repeats nowhere, and a block sends each kind of run once however many copies it has.
 
+A gram in a line that very many documents have would anchor as many kinds of runs, one for each surrounding. Such grams
+are counted first; they are anchors only of strings that hold no other gram, which lie within the common text and are
+alike. The grams are at most four a bucket, so every worker can have them.
+
 Edge cases: a null or empty text has no bytes and no spans; a text shorter than LENGTH is kept whole; doc_ids lie below
 2 ** 62, null ones come after all others in order of a hash of their text; rows with equal doc_id count as one document
 whose texts come one after the other, in byte order; other columns are not read; an empty table gives an empty table.
@@ -20,25 +24,30 @@ whose texts come one after the other, in byte order; other columns are not read;
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from silt.llm import blocks as bl
+from silt.llm.common import as_bytes, cut, slices
 from silt.llm.textops import BYTE_KEY, U, batches, mix, rolled
 
 LENGTH = 100
 GRAM = 36
 #: Suffixes that one suffix array holds, about; an anchor's strings are never parted.
 SUFFIXES = 100_000
+#: Kinds of runs up to which an anchor isn't common whatever its share.
+COMMON = 200
 
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
 _STEP = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(int(_STEP), -1, 1 << 64))
-_PLACE = U((1 << 28) - 1)
+_PLACE, _LOW = U((1 << 28) - 1), U((1 << 16) - 1)
 _up = _down = np.ones(1, np.uint64)
 
 
@@ -53,15 +62,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Runs:
     """Runs of strings with one anchor in consecutive texts, in order: text, first and last start, anchor, hashes."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int) -> None:
+    def __init__(self, texts: list[bytes], length: int, gram: int, common: np.ndarray) -> None:
         parts: list[list[np.ndarray]] = []
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(common & _LOW).astype(np.int64)] = True
         for a, b in batches(texts, 1 << 18):
-            parts.append(self._of(texts[a:b], a, length, gram))
+            parts.append(self._of(texts[a:b], a, length, gram, common, maybe))
         cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
-        self.doc, self.first, self.last, self.anchor, self.gram, self.whole = cols
+        self.doc, self.first, self.last, self.anchor, self.plain, self.whole = cols
+        # Anchors have small hashes, being the least of their strings: mixed again, they spread over all buckets.
+        self.gram = mix(self.plain + U(1))
 
     @staticmethod
-    def _of(texts: list[bytes], base: int, length: int, gram: int) -> list[np.ndarray]:
+    def _of(texts: list[bytes], base: int, length: int, gram: int, common: np.ndarray, maybe: np.ndarray) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         end = np.cumsum(sizes)
         n, width = int(end[-1]) - length + 1, length - gram + 1
@@ -70,7 +83,11 @@ class Runs:
             return empty
         value = BYTE_KEY[np.frombuffer(b"".join(texts), np.uint8)]
         h = rolled(value, gram)
-        low = (h & ~_PLACE) | np.arange(h.size, dtype=np.uint64)
+        rank = h >> U(1)
+        if common.size:
+            at = np.flatnonzero(maybe[(h & _LOW).astype(np.int64)])
+            rank[at[np.isin(h[at], common)]] |= U(1 << 63)
+        low = (rank & ~_PLACE) | np.arange(h.size, dtype=np.uint64)
         span = 1
         while span * 2 <= width:
             low = np.minimum(low[:-span], low[span:])
@@ -92,8 +109,7 @@ class Runs:
         p = anchor[first]
         whole = mix(whole ^ mix(((last - first) * 256 + (p - first)).astype(np.uint64)))
         d, start = doc[first], (end - sizes)[doc[first]]
-        # Anchors have small hashes, being the least of their strings: mixed again, they spread over all buckets.
-        return [d + base, first - start, last - start, p - start, mix(h[p] + U(1)), whole]
+        return [d + base, first - start, last - start, p - start, h[p], whole]
 
 
 class _Kinds:
@@ -113,9 +129,35 @@ _KIND = np.dtype([("gram", "<u4"), ("whole", "<u8"), ("order", "<i8")])
 _SEGMENT = np.dtype([("gram", "<u4"), ("order", "<i8"), ("row", "<u4"), ("start", "<u8"), ("n", "<u2")])
 
 
-def _ask_kinds(length: int, gram: int, buckets: int, docs: pa.Table) -> pa.Table:
+def _many(length: int, gram: int, share: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds of runs by anchor for each slice: anchors with more than 1/share of the slice's, and all kinds as anchor null."""
+    for batch in parts:
+        for part in slices(batch, ["text"]):
+            runs = Runs(as_bytes(part.column(0)), length, gram, np.empty(0, np.uint64))
+            _, first = np.unique(runs.whole, return_index=True)
+            anchor, n = np.unique(runs.plain[first], return_counts=True)
+            much = n > max(2, first.size // share)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *anchor[much].view(np.int64).tolist()], pa.int64()), pa.array([first.size, *n[much].tolist()], pa.int64())],
+                names=["anchor", "n"],
+            )
+
+
+def common_anchors(docs: DataFrame, length: int, gram: int, share: int) -> np.ndarray:
+    """Hashes of grams that anchor about 1/share or more of all kinds of runs: 2 * share of them at most.
+
+    A gram with 2/share of all has 1/share of some slices, which hold half of its runs or more, so it is among them.
+    """
+    found = docs.select("text").mapInArrow(partial(_many, length, gram, share), "anchor bigint, n bigint")
+    found = cut(found.groupBy("anchor").agg(F.sum("n").alias("n")))
+    total = found.where("anchor is null").agg(F.max("n")).first()[0] or 0
+    rows = found.where(F.col("anchor").isNotNull() & (F.col("n") > max(COMMON, total // (2 * share)))).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def _ask_kinds(length: int, gram: int, common: np.ndarray, buckets: int, docs: pa.Table) -> pa.Table:
     block = bl.Block(docs)
-    runs = Runs(block.texts, length, gram)
+    runs = Runs(block.texts, length, gram, common)
     kinds = _Kinds(runs)
     data = np.empty(kinds.first.size, _KIND)
     data["gram"], data["whole"] = kinds.gram.astype(np.uint32), runs.whole[kinds.first]
@@ -138,9 +180,9 @@ def _judge_kinds(data: list[bytes]) -> list[np.ndarray]:
     return np.split(bits, np.cumsum([p.size for p in parts])[:-1], axis=1)
 
 
-def _ask_segments(length: int, gram: int, buckets: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _ask_segments(length: int, gram: int, common: np.ndarray, buckets: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
     block = bl.Block(docs)
-    runs = Runs(block.texts, length, gram)
+    runs = Runs(block.texts, length, gram, common)
     kinds = _Kinds(runs)
     _, unlike = bl.answers(replies, 0, kinds.gram, buckets, 2)
     run = kinds.first[unlike]
@@ -255,9 +297,9 @@ def _judge_segments(length: int, data: list[bytes]) -> list[np.ndarray]:
     return np.split(bits, np.cumsum([int(h["n"].sum()) for h in heads])[:-1])
 
 
-def _remove(length: int, gram: int, buckets: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _remove(length: int, gram: int, common: np.ndarray, buckets: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
     block = bl.Block(docs)
-    runs = Runs(block.texts, length, gram)
+    runs = Runs(block.texts, length, gram, common)
     kinds = _Kinds(runs)
     later, unlike = bl.answers(replies, 0, kinds.gram, buckets, 2)
     gone = later[kinds.of]
@@ -310,13 +352,12 @@ def _remove(length: int, gram: int, buckets: int, docs: pa.Table, replies: pa.Ta
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed, maximal) and kept (bytes) for each row of docs (doc_id, text)."""
     base, buckets = bl.deal(docs)
-    by_block = base.groupBy("block")
-    kinds = by_block.applyInArrow(bl.one(partial(_ask_kinds, length, gram, buckets)), bl.ASK)
+    common = common_anchors(docs, length, gram, 2 * buckets)
+    known = (length, gram, common, buckets)
+    kinds = base.groupBy("block").applyInArrow(bl.one(partial(_ask_kinds, *known)), bl.ASK)
     judged = kinds.groupBy("bucket").applyInArrow(bl.one(partial(bl.answer, decide=_judge_kinds)), bl.ASK)
-    ask = bl.two(partial(_ask_segments, length, gram, buckets))
-    segments = base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(ask, bl.ASK)
+    segments = base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(bl.two(partial(_ask_segments, *known)), bl.ASK)
     decide = partial(_judge_segments, length)
     found = segments.groupBy("bucket").applyInArrow(bl.one(partial(bl.answer, decide=decide)), bl.ASK)
     replies = judged.unionByName(found)
-    remove = bl.two(partial(_remove, length, gram, buckets))
-    return base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(remove, OUT)
+    return base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(bl.two(partial(_remove, *known)), OUT)

@@ -166,6 +166,18 @@ def test_suffix_array_dedup(which, length, gram, request):
     assert got == sorted(bytes_left(ordered(df), length))
 
 
+def test_suffix_array_dedup_with_common_grams(spark, monkeypatch):
+    monkeypatch.setattr(lpf, "COMMON", 3)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = text(30), text(90)
+    rows = [(i, text(rng.randint(5, 60)) + rng.choice([line, passage, line + passage]) + text(rng.randint(5, 60))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lpf.common_anchors(df, 40, 12, 64).size
+    got = sorted((r["doc_id"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in lpf.dedup_bytes(df, 40, 12).collect())
+    assert got == sorted((i, n, hashlib.sha256(k).hexdigest()) for i, _, n, _, k in bytes_left(ordered(df), 40))
+
+
 def test_suffix_array_dedup_of_few_letters(spark):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 400)))) for i in range(40)] + [(50, "ab" * 300), (51, "a" * 500)]
