@@ -4,9 +4,8 @@ A line is removed if an earlier line, by (doc_id, place in the text), has the sa
 words or more, words at edit distance 1 (one word replaced, put in or left out). Lines are judged on the input, not on
 what is left.
 
-Equal lines are first folded to one row with their earliest place. Of the distinct lines, one edit leaves either the
-first or the last K words alone, K growing with the line's length; lines that share neither with another line can't
-have a neighbour and go no further. The others emit every variant with one word deleted as a hashed key, and the line
+Equal lines are first folded to one row with their earliest place. Of PARTS parts of a line, one edit touches one
+alone; lines that agree with no other line in the rest can't have a neighbour and go no further. The others emit every variant with one word deleted as a hashed key, and the line
 itself as the key of no deletion. A key's hash depends on the order of words, so lines under one key with the deletion
 at the same place differ in that word at most, and a line equal to another's variant lacks one word of it: grouping by
 the key and the place verifies the edit distance. Only the earliest place of each group is kept, a running minimum that
@@ -21,7 +20,7 @@ that have the name of a result column are replaced; an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silt.llm.common import WORD, cut, without
@@ -29,23 +28,30 @@ from silt.llm.joins import join_unique
 
 #: Shortest line, in words, that a line one edit away can remove.
 MIN_NEAR = 8
+#: Parts of a line of which one edit touches one alone.
+PARTS = 2
 _BITS = (1 << 40) - 1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _half(n: str) -> str:
-    """SQL: K for a line of n words: a quarter of the next power of two above n, so half of n at most."""
-    return f"cast(shiftleft(1, length(bin({n})) - 2) as int)"
-
-
 def _keys() -> str:
-    """SQL: hashes of the first and last K words; a line whose K is larger than that of a line one shorter has both K's."""
+    """SQL: for each part, a hash of the words before and after it; one edit leaves one of them as it is.
+
+    A part is a PARTS-th of the words, rounded down; if that is more than for a line one word shorter, the hashes for
+    the shorter part are there too, so that both lines of an insertion have them.
+    """
     out = []
-    for n in ("n", "n - 1"):
-        k = _half(n)
-        out.append(f"xxhash64(1, {k}, slice(w, 1, {k}))")
-        out.append(f"xxhash64(2, {k}, slice(w, n - {k} + 1, {k}))")
-    return f"array_distinct(array({', '.join(out)}))"
+    for n in ("n", "(n - 1)"):
+        k = f"({n} div {PARTS})"
+        for part in range(PARTS):
+            ends = []
+            if part:
+                ends.append(f"substring_index(line, ' ', int({part} * {k}))")
+            if part < PARTS - 1:
+                ends.append(f"substring_index(line, ' ', -int({PARTS - 1 - part} * {k}))")
+            key = f"xxhash64({part}, {k}, {', '.join(ends)})"
+            out.append(key if n == "n" else f"if(n % {PARTS} = 0, {key}, null)")
+    return f"if(n >= {MIN_NEAR}, array({', '.join(out)}), null)"
 
 
 def _variants() -> str:
@@ -67,22 +73,22 @@ def _variants() -> str:
         array(named_struct('key', xxhash64(n, {whole}), 'place', -1)))"""
 
 
+def _plain(line) -> Column:
+    """The line's words with one space between."""
+    line = F.col(line) if isinstance(line, str) else line
+    odd = line.startswith(" ") | line.endswith(" ")
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= line.contains(x)
+    return F.when(odd, F.trim(F.regexp_replace(line, _SPACE, " "))).otherwise(line)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row a line with words: where (its place in the order), its words' hash, their number and half-line keys."""
+    """where (a line's place in the order), the line with single spaces, and a key of it, for each line with words."""
     # Outer explodes: for inner ones Catalyst adds a filter on the array's size, which computes the array twice.
     line = F.posexplode_outer(F.split("text", "\n")).alias("at", "line")
     rows = docs.select("silt_order", "silt_doc", line).where(F.col("line").rlike(WORD))
-    rows = rows.withColumn("w", _words("line")).withColumn("n", F.size("w"))
-    return rows.select(
-        F.struct("silt_order", "silt_doc", "at").alias("where"),
-        F.xxhash64("n", "w").alias("line_key"),
-        "n",
-        F.when(F.col("n") >= MIN_NEAR, F.expr(_keys())).alias("halves"),
-    )
-
-
-def _words(line):
-    return F.filter(F.split(line, _SPACE), lambda x: x != "")
+    rows = rows.select(F.struct("silt_order", "silt_doc", "at").alias("where"), _plain("line").alias("line"))
+    return rows.withColumn("line_key", F.xxhash64("line"))
 
 
 def removable(docs: DataFrame) -> DataFrame:
@@ -90,44 +96,38 @@ def removable(docs: DataFrame) -> DataFrame:
 
     docs: silt_order, silt_doc, text.
     """
-    firsts = _lines(docs).groupBy("line_key", "n").agg(F.min("where").alias("where"), F.first("halves").alias("halves"))
-    firsts = cut(firsts)
-    halves = firsts.where("halves is not null").select(F.explode_outer("halves").alias("half"), "line_key")
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    shared = cut(shared)
-    n_halves = shared.agg(F.sum("lines")).first()[0] or 0
-    near = join_unique(halves, shared, "half", "lines", n_halves, "inner").select("line_key").distinct()
-    # The words of those lines come from their first places, read off the documents.
+    firsts = cut(_lines(docs).groupBy("line_key").agg(F.min("where").alias("where")))
+    n_lines = firsts.count()
+    # Lines that agree with another one but for a part.
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    keys = _lines(docs).withColumn("n", (spaces + 1).cast("int"))
+    keys = keys.select("line_key", F.expr(_keys()).alias("halves"))
+    keys = cut(keys.select("line_key", F.explode_outer("halves").alias("half")).where("half is not null"))
+    ends = (F.min("line_key") < F.max("line_key")).alias("many")
+    shared = cut(keys.groupBy("half").agg(ends, F.count(F.lit(1)).alias("lines")).where("many").drop("many"))
+    near = join_unique(keys, shared, "half", "lines", n_lines, "inner").select("line_key").distinct()
+    # Their words come from their first places, read off the documents; the shuffle of texts serves the result too.
     at = (
-        near.join(firsts.select("line_key", "where"), "line_key")
+        cut(near.join(firsts, "line_key"))
         .groupBy(F.col("where.silt_doc").alias("silt_doc"))
         .agg(F.collect_list(F.struct("where.at", "line_key")).alias("places"))
     )
     place = F.explode_outer("places").alias("place")
-    found = docs.join(at, "silt_doc").select("silt_order", "silt_doc", F.split("text", "\n").alias("lines"), place)
-    found = found.select(
-        F.struct("silt_order", "silt_doc", F.col("place.at").alias("at")).alias("where"),
-        F.col("place.line_key").alias("line_key"),
-        _words(F.expr("lines[place.at]")).alias("w"),
-    ).withColumn("n", F.size("w"))
-    variants = found.select("line_key", "where", F.explode_outer(F.expr(_variants())).alias("v"))
-    variants = cut(variants.select("line_key", "where", "v.key", "v.place"))
+    found = docs.join(at, "silt_doc").select(F.split("text", "\n").alias("lines"), place)
+    found = found.select(F.split(_plain(F.expr("lines[place.at]")), " ").alias("w"), F.col("place.line_key").alias("line_key"))
+    found = found.withColumn("n", F.size("w"))
+    variants = found.select("line_key", F.explode_outer(F.expr(_variants())).alias("v")).select("line_key", "v.key", "v.place")
+    common = variants.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    met = cut(join_unique(variants, common, "key", "lines", n_lines, "inner").drop("lines").join(firsts, "line_key"))
     # Earliest whole line, earliest of all, and how many, under each key; then earliest at each place of a key.
-    whole = F.min(F.when(F.col("place") == -1, F.col("where")))
-    by_key = variants.groupBy("key").agg(whole.alias("whole"), F.min("where").alias("any"), F.count(F.lit(1)).alias("lines"))
-    by_key = cut(by_key.where("lines > 1"))
-    spot = F.xxhash64("key", "place")
-    by_spot = variants.where("place >= 0").groupBy(spot.alias("spot")).agg(
-        F.min("where").alias("same"), F.count(F.lit(1)).alias("lines"))
-    by_spot = cut(by_spot.where("lines > 1"))
-    n_variants = by_key.agg(F.sum("lines")).first()[0] or 0
-    later_key = join_unique(variants, by_key, "key", "lines", n_variants, "inner").where(
-        "whole < where or (place = -1 and any < where)"
-    )
-    spotted = variants.where("place >= 0").select("line_key", "where", spot.alias("spot"))
-    later_spot = join_unique(spotted, by_spot, "spot", "lines", n_variants, "inner").where("same < where")
-    gone = later_key.select("line_key").union(later_spot.select("line_key")).distinct()
-    kept = firsts.join(gone, "line_key", "left_anti")
+    whole = F.min(F.when(F.col("place") == -1, F.col("where"))).alias("whole")
+    by_key = cut(met.groupBy("key").agg(whole, F.min("where").alias("any"), F.count(F.lit(1)).alias("lines")))
+    later = join_unique(met, by_key, "key", "lines", n_lines, "inner")
+    by_key_gone = later.where("whole < where or (place = -1 and any < where)").select("line_key")
+    spots = met.where("place >= 0").select("line_key", "where", F.xxhash64("key", "place").alias("spot"))
+    by_spot = spots.groupBy("spot").agg(F.min("where").alias("same"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    by_spot_gone = join_unique(spots, cut(by_spot), "spot", "lines", n_lines, "inner").where("same < where").select("line_key")
+    kept = firsts.join(by_key_gone.union(by_spot_gone).distinct(), "line_key", "left_anti")
     return kept.groupBy(F.col("where.silt_doc").alias("silt_doc")).agg(F.collect_list("where.at").alias("keep"))
 
 
