@@ -28,6 +28,33 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where("value <> ''")
 
 
+def read_packed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """value, path and line_no of gzip, zstd and snappy files, told by extension; each file is unpacked by one task."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from silt.sources.receive import decompressed
+
+    codecs = {".gz": "gzip", ".zst": "zstd", ".zstd": "zstd", ".sz": "snappy", ".snappy": "snappy"}
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                codec = next((c for e, c in codecs.items() if path.endswith(e)), None)
+                rows = decompressed(bytes(content), codec).decode("utf-8", "replace").split("\n")
+                rows = [(r.removesuffix("\r"), path, n) for n, r in enumerate(rows) if r.strip("\r")]
+                yield pd.DataFrame(rows, columns=["value", "path", "line_no"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(unpack, "value string, path string, line_no bigint")
+
+
+def valid_utf8(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are valid UTF-8."""
+    return lines.where(F.is_valid_utf8(column))
+
+
 def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The same of new files in a folder, as a stream (without line numbers)."""
     text = spark.readStream.options(**options).text(path)
