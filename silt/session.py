@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from silt.ship import ship
+
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
@@ -20,4 +22,4 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         builder = builder.master(master)
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
