@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from silt.ship import ship
+
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,7 +96,7 @@ def step(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
                 fs.delete(where, True)
         _made = []
         try:
-            out = fn(spark, *args)
+            out = fn(ship(spark), *args)
             _steps.append((weakref.ref(out), _made))
         finally:
             _made = None
