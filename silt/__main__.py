@@ -16,8 +16,7 @@ def main(args: list[str] | None = None) -> int:
     g = verbs.add_parser("generate")
     g.add_argument("n", type=int)
     g.add_argument("--complexity", default="simple")
-    for x in (p,):
-        x.add_argument("--master", default=None)
+    p.add_argument("--master", default=None)
     a = p.parse_args(args)
     if a.verb != "generate":
         with open(a.config, encoding="utf-8") as f:

@@ -16,7 +16,7 @@ OBSERVED, SEVERITY_NUMBER = "observed_timestamp", "severity_number"
 SCOPE_NAME, SCOPE_VERSION = "scope.name", "scope.version"
 RESOURCE_PREFIXES = ("resource.attributes.", "_resource_")
 SOURCE_ID = "__source_id"
-SOURCE_PATHS = {"fastforward": "file.path", "ecs": "file.path", "otel": "log.file.path", "vector": "file"}
+SOURCE_PATHS = {"native": "file.path", "ecs": "file.path", "otel": "log.file.path", "vector": "file"}
 CRI_TIMESTAMP, CRI_STREAM = "_timestamp", "_stream"
 CONFLICT_CHILDREN = ("int", "float", "bool", "str")
 

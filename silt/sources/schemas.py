@@ -49,9 +49,8 @@ def matching(rows: DataFrame, column: str, include: list[str] = (), exclude: lis
         text = glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
         return F.coalesce(F.col(column).like(text), F.lit(False))
 
-    for x in (exclude,):
-        for glob in x:
-            rows = rows.where(~like(glob))
+    for glob in exclude:
+        rows = rows.where(~like(glob))
     if include:
         hit = like(include[0])
         for glob in include[1:]:
