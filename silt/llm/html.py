@@ -4,13 +4,13 @@ Pages are sorted by host and URL path. Each page is aligned with its nearest nei
 the one that shares the longer start of the path (the one before on a tie), by the longest common subsequence of their
 text lines; shared lines are what the site repeats, and go. Then what the markup itself names as chrome goes (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments), since those blocks often differ from page to
-page; a line that the page itself declares part of its article or main element is content even if a neighbour repeats
+page; a line that the page itself declares part of its article is content even if a neighbour repeats
 it, for mirrors, reposts and stock passages share such lines too. On a page with an article (or main) element, lines
 outside it are chrome.
 
 Edge cases: null or empty html gives an empty text; a null URL counts as an empty host and path, so such pages are
-neighbours of each other; a page alone on its host is not differenced; two pages that share four fifths of their words
-outside articles are taken as copies of one page and not differenced; repeated rows are neighbours, hence copies; an
+neighbours of each other; a page alone on its host is not differenced; two pages without articles that share four
+fifths of their words are taken as copies of one page and not differenced; repeated rows are neighbours, hence copies; an
 empty table gives an empty table; of the input columns only page_id, url and html are read. No page is ever dropped or
 cut, and nothing gathers a host in one task: hosts are split over range partitions, and the pages on either side of a
 cut are known to both partitions.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from silt.llm.common import as_bytes, input_bytes, shuffle_partitions, slices
 
-CHROME, OUTSIDE, ARTICLE = 0, 1, 2
+CHROME, OUTSIDE, MAIN, ARTICLE = 0, 1, 2, 3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
@@ -40,7 +40,6 @@ _BLANK = re.compile(r"\s+")
 
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head".split())
 CHROME_TAGS = frozenset("nav header footer aside form dialog menu button".split())
-ARTICLE_TAGS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -55,7 +54,11 @@ CHROME_NAMES = frozenset(
     " comment comments commentlist disqus respond reply replies discussion related recommended pagination pager toolbar"
     " search widget complementary contentinfo".split()
 )
-ARTICLE_NAMES = frozenset(("article", "main", "articlebody", "maincontent"))
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+HEADER_NAMES = frozenset("header masthead topbar".split())
+#: Values, without dashes, that name the main text.
+ARTICLE_NAMES = frozenset("article articlebody articlecontent articletext postbody postcontent entrycontent storybody".split())
+MAIN_NAMES = frozenset("main maincontent contentmain".split())
 _PART = re.compile(r"[A-Za-z]+")
 
 
@@ -65,37 +68,43 @@ class Page:
     zones: list[int] = field(default_factory=list)
 
     @property
-    def has_article(self) -> bool:
-        return ARTICLE in self.zones
+    def wanted(self) -> int:
+        """The zone of the main text: the article if there is one, else the main element, else all that is no chrome."""
+        return max((z for z in self.zones if z > OUTSIDE), default=OUTSIDE)
 
 
 def _kind(tag: str, attributes: str, inside_article: bool) -> int:
-    """-1: raw, CHROME, ARTICLE or OUTSIDE (plain)."""
+    """-1: raw; or the zone that an element opens, OUTSIDE if none."""
     if tag in RAW:
         return -1
     if tag in CHROME_TAGS and not (tag == "header" and inside_article):
         return CHROME
-    if tag in ARTICLE_TAGS:
+    values = [v for m in _NAMING.findall(attributes) for v in "".join(m).lower().split()] if attributes else []
+    # "has-sidebar" and the like speak of another element.
+    parts = {p for v in values if not v.startswith(("has-", "with-", "no-")) for p in _PART.findall(v)}
+    if tag == "article":
+        return CHROME if parts & COMMENT_NAMES else ARTICLE
+    plain = {v.replace("-", "").replace("_", "") for v in values}
+    if plain & ARTICLE_NAMES:
         return ARTICLE
-    if attributes and tag not in ("html", "body"):
-        for a, b, c in _NAMING.findall(attributes):
-            for value in (a or b or c).lower().split():
-                if value in ARTICLE_NAMES:
-                    return ARTICLE
-                if any(part in CHROME_NAMES for part in _PART.findall(value)):
-                    return CHROME
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
-            return CHROME
+    if tag == "main" or plain & MAIN_NAMES:
+        return MAIN
+    if tag in ("html", "body"):
+        return OUTSIDE
+    if parts & (CHROME_NAMES - HEADER_NAMES if inside_article else CHROME_NAMES):
+        return CHROME
+    if attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
+        return CHROME
     return OUTSIDE
 
 
 def parse(html: str) -> Page:
     """The text lines of a page, one for each block in page order, with the zone each lies in."""
     page, stack, text, at, zone_of_text = Page(), [], [], 0, OUTSIDE
-    chrome = article = 0
+    chrome = article = main = 0
 
     def zone() -> int:
-        return CHROME if chrome else ARTICLE if article else OUTSIDE
+        return CHROME if chrome else ARTICLE if article else MAIN if main else OUTSIDE
 
     def flush() -> None:
         line = _BLANK.sub(" ", unescape("".join(text))).strip()
@@ -124,6 +133,7 @@ def parse(html: str) -> Page:
                 for _, kind in stack[depth:]:
                     chrome -= kind == CHROME
                     article -= kind == ARTICLE
+                    main -= kind == MAIN
                 if any(kind != OUTSIDE for _, kind in stack[depth:]):
                     flush()
                 del stack[depth:]
@@ -131,10 +141,11 @@ def parse(html: str) -> Page:
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
             kind = _kind(tag, m[3], article > 0)
-            if kind in (CHROME, ARTICLE):
+            if kind in (CHROME, MAIN, ARTICLE):
                 flush()
             chrome += kind == CHROME
             article += kind == ARTICLE
+            main += kind == MAIN
             stack.append((tag, kind))
     if at < len(html):
         if not text:
@@ -216,16 +227,16 @@ def common_lines(a: list, b: list) -> list[int]:
 
 
 def differenced(page: Page, other: list | None) -> list[str]:
-    """The page's main text lines; other: the neighbour's lines (or hashes of them if page's are taken with `keys`)."""
+    """The page's main text lines; other: the keys of the neighbour's lines."""
     gone: set[int] = set()
     if other:
         keys = line_keys(page.lines)
         gone = set(common_lines(keys, other))
-        free = [i for i, z in enumerate(page.zones) if z == OUTSIDE]
+        free = [i for i, z in enumerate(page.zones) if z == page.wanted]
         words = [page.lines[i].count(" ") + 1 for i in free]
-        if 5 * sum(w for i, w in zip(free, words) if i in gone) >= 4 * sum(words):
+        if page.wanted == ARTICLE or 5 * sum(w for i, w in zip(free, words) if i in gone) >= 4 * sum(words):
             gone = set()
-    wanted = ARTICLE if page.has_article else OUTSIDE
+    wanted = page.wanted
     return [x for i, (x, z) in enumerate(zip(page.lines, page.zones)) if z == wanted and (z == ARTICLE or i not in gone)]
 
 

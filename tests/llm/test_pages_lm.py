@@ -39,6 +39,21 @@ def test_article(spark):
     assert out[3]["text"] == "plain <text>" and out[4]["text"] == "unclosed\na\nb"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div id="main-content" class="has-sidebar"><p>a</p><div class="sidebar">b</div></div><p>c</p>', "a"),
+        ('<main><p>list</p><article><header><h1>t</h1></header><p>x</p><article class="comment">no</article></article></main>', "t\nx"),
+        ('<div class="entry-content"><div class="post-header">t</div><p>x</p><div class="share-buttons">no</div></div><p>y</p>', "t\nx"),
+        ('<body class="page"><div class="cookie-notice">no</div><form>no</form><p>x</p><p hidden>no</p><div style="display:none">no</div>', "x"),
+        ("<p>a<b>b</b> c</p><table><tr><td>d<td>e</table><pre>f\n g</pre>", "ab c\nd\ne\nf g"), ("<p>x<!-- y --></p><script>z", "x"),
+        ("<p>1 < 2 &lt; 3 &#233;&#x41; &nbsp;end", "1 < 2 < 3 éA end"), ("", ""),
+    ],
+)
+def test_markup(page, want):
+    assert "\n".join(html.differenced(html.parse(page), None)) == want
+
+
 def test_differencing_removes_what_neighbours_share(spark):
     page = "<p>Welcome to the site</p><p>{0} has its own long story of {0} words to tell here</p><p>Bye now</p>"
     rows = [(i, f"http://h.example/a/{i:03d}", page.format(f"word{i}")) for i in range(60)]
