@@ -99,6 +99,12 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_anti": (
         "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
         "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "join_right_semi": (
+        "SELECT o_orderkey FROM customer c RIGHT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 WHERE o_totalprice > 1000",
+        "SELECT o_orderkey FROM orders o SEMI JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 WHERE o_totalprice > 1000"),
+    "join_right_anti": (
+        "SELECT o_orderkey FROM customer c RIGHT ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0",
+        "SELECT o_orderkey FROM orders o ANTI JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0"),
     "join_using_self": (
         "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b USING (n_regionkey)", None),
     "join_natural": ("SELECT n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r", None),

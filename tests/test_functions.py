@@ -163,7 +163,7 @@ def test_dialect_leaves_text_alone():
     "sql",
     [
         "DROP TABLE logs", "SELECT 1; SELECT 2", "INSERT INTO logs VALUES (1)", "SELECT * FROM logs MATCH_RECOGNIZE (x)", "SELECT * FROM OPENJSON(x)",
-        "SELECT * FROM a ASOF JOIN b ON a.t >= b.t", "SELECT * FROM a RIGHT SEMI JOIN b ON a.x = b.x", "",
+        "SELECT * FROM a ASOF JOIN b ON a.t >= b.t", "SELECT * FROM a JOIN c ON a.x = c.x RIGHT SEMI JOIN b ON a.x = b.x", "",
     ],
 )
 def test_rejected_sql(sql):
