@@ -72,5 +72,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": oracles.QUALITY,
         "op7_substring_dedup": oracles.SUBSTRING,
+        "op9_line_dedup": oracles.LINES,
         "op10_suffix_array_dedup": oracles.SUFFIXES,
     }
