@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import decontam, jaccard, lines, mixing, quality
-from silt.llm.common import WORD, step, table
+from silt.llm.common import step, table
 
 
 @step
@@ -25,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated lines; one that lost lines and has no words left goes."""
     out = lines.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
-    out = out.where(F.coalesce(~emptied, F.lit(True)))
+    out = out.where("n_removed = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
