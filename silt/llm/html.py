@@ -36,6 +36,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
 _NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What an element's attributes must have to say anything about its zone.
+_TELLING = re.compile("class|id|role|hidden|display", re.I)
 _BLANK = re.compile(r"\s+")
 
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head".split())
@@ -79,7 +81,9 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int:
         return -1
     if tag in CHROME_TAGS and not (tag == "header" and inside_article):
         return CHROME
-    values = [v for m in _NAMING.findall(attributes) for v in "".join(m).lower().split()] if attributes else []
+    if not _TELLING.search(attributes):
+        return {"article": ARTICLE, "main": MAIN}.get(tag, OUTSIDE)
+    values = [v for m in _NAMING.findall(attributes) for v in "".join(m).lower().split()]
     # "has-sidebar" and the like speak of another element.
     parts = {p for v in values if not v.startswith(("has-", "with-", "no-")) for p in _PART.findall(v)}
     if tag == "article":
@@ -93,7 +97,7 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int:
         return OUTSIDE
     if parts & (CHROME_NAMES - HEADER_NAMES if inside_article else CHROME_NAMES):
         return CHROME
-    if attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
         return CHROME
     return OUTSIDE
 
