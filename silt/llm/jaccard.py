@@ -2,14 +2,14 @@
 
 Texts become sets of hashed five-word shingles (a text of one to four words is one shingle). Texts with equal sets are
 one class; the join is between classes, so exact copies cost one row each. BANDS x ROWS minima find two sets of
-similarity s with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. Classes are shuffled on band hashes; in each
-bucket they are compared with a centre, the member first by a hash, not with each other, so a bucket of any size
-costs its members once. Classes that fail against a centre meet MORE_CENTRES other members of each bucket, and one another in buckets of
-two bands together, which texts below the threshold hardly share. A pair is thus found as a chain of links through centres, each of them
-verified; classes are the connected components, which centres join as all pairs would.
+similarity s with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8. Classes that share a band hash are a bucket;
+in each bucket every two members of like size are verified against each other on their full sets, in the first bucket
+that they share. A bucket of more than BLOCK_ROWS members is cut into blocks by a hash, and each two of its blocks meet
+in a task of their own, so no task grows with a bucket. The work does grow with the square of a bucket, as the number of
+its pairs does; but no row is made for a pair: a task returns how many links each member has, and edges that span them.
 
-Every document gets class_id, the smallest doc_id of its component, and n_links, the verified links of its set to other
-sets. Hot classes and buckets are counted and joined by broadcast (joins.py); sets travel only for candidates.
+Every document gets class_id, the smallest doc_id of its connected component, and n_links, the number of other sets that
+are similar to its set. Sets travel only for classes that share a bucket; hot buckets are joined by broadcast (joins.py).
 
 Edge cases: a null or word-less text has no shingles, no link and is its own class; a null doc_id never is the smallest
 unless all are null; repeated rows are copies; other columns are not read; an empty table gives an empty table.
@@ -18,7 +18,6 @@ unless all are null; repeated rows are copies; other columns are not read; an em
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from silt.llm.textops import U, batches, mix, rolled, windows, words_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Further centres of a bucket, met by classes that failed against a first one.
-MORE_CENTRES = 4
+#: Members of a bucket's block, about, and their shingles.
+BLOCK_ROWS, BLOCK_GRAMS = 512, 400_000
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | U(1)
 _B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
@@ -107,58 +106,116 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32, n).astype(np.uint64) + (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << U(32))
 
 
-def _verified(threshold: float):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _unpacked(a), _unpacked(b)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(both >= threshold * (x.size + y.size - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["node", "centre", "linked"]
-            )
-
-    return run
-
-
-def _buckets(keys: DataFrame) -> DataFrame:
-    """key, rows and centres (centre, n_grams) of the buckets with several members; keys: key, node, n_grams."""
+def _links(sets: list[np.ndarray], near: np.ndarray, threshold: float) -> np.ndarray:
+    """The pairs of `near` (a matrix, upper half) whose sets are similar enough, as a symmetric matrix."""
+    i, j = np.nonzero(near)
+    size = np.array([x.size for x in sets])
+    used = np.unique(np.concatenate([i, j]))
+    owner = np.repeat(used, size[used])
+    _, column, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    width, n = int(shared.sum()), len(sets)
+    # Few pairs are compared one by one, many by products of the members' bit rows.
+    if i.size * 5e-5 < n * n * width * 1e-10:
+        both = np.array([np.intersect1d(sets[x], sets[y], assume_unique=True).size for x, y in zip(i, j)], np.int64)
+    else:
+        keep = shared[column]
+        owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common, step = np.zeros((n, n), np.float32), 2048
+        for at in range(0, width, step):
+            a, b = np.searchsorted(column, [at, at + step])
+            bits = np.zeros((n, step), np.float32)
+            bits[owner[a:b], column[a:b] - at] = 1
+            common += bits @ bits.T
+        both = common[i, j].astype(np.int64)
+    ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+    out = np.zeros(near.shape, bool)
+    out[i[ok], j[ok]] = out[j[ok], i[ok]] = True
+    return out
 
-    def pick(turn: int):
-        # One order of all nodes for each turn: buckets that share members tend to share their centre.
-        by = F.xxhash64("node", F.lit(turn)).alias("by")
-        return F.min(F.struct(by, F.col("node").alias("centre"), F.col("n_grams").alias("centre_grams")))
 
-    picks = [pick(turn).alias(f"pick{turn}") for turn in range(1 + MORE_CENTRES)]
-    buckets = keys.groupBy("key").agg(*picks, F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return cut(buckets)
+def _spanning(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect what `linked` connects: each component's first member with the others."""
+    left = linked.any(axis=1)
+    for first in range(len(linked)):
+        if left[first]:
+            new = np.zeros(len(linked), bool)
+            new[first] = True
+            left[first] = False
+            while new.any():
+                new = linked[new].any(axis=0) & left
+                left &= ~new
+                yield from ((first, int(x)) for x in np.flatnonzero(new))
+
+
+def _met(members: list[tuple], band: int, apart: bool, threshold: float) -> tuple[list, list, list]:
+    """(node, centre, n_links) of a task's members (node, block, bands, grams): counts have no centre, edges no links."""
+    node = [m[0] for m in members]
+    size = np.array([len(m[3]) // 5 for m in members])
+    least, most = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    # Sets whose sizes differ too much can't be similar enough; pairs that an earlier band has were met there.
+    near = np.triu(least >= most * threshold - 1e-9, 1)
+    if apart:
+        block = np.array([m[1] for m in members])
+        near &= block[:, None] != block
+    bands = np.array([m[2] for m in members], np.int64)
+    for k in range(band):
+        near &= bands[:, None, k] != bands[:, k]
+    if not near.any():
+        return [], [], []
+    wanted = near.any(axis=0) | near.any(axis=1)
+    linked = _links([_unpacked(m[3]) if w else np.empty(0, U) for m, w in zip(members, wanted)], near, threshold)
+    degree = linked.sum(axis=1)
+    rows = [(node[i], None, int(degree[i])) for i in np.flatnonzero(degree)]
+    rows += [(node[i], node[j], 0) for i, j in _spanning(linked)]
+    return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+
+
+def _compared(threshold: float):
+    """Rows (band, key, low, high, node, block, bands, grams), those of a task one after another."""
+    names = ["node", "centre", "n_links"]
+
+    def out(task, members):
+        cols = _met(members, task[0], task[2] != task[3], threshold) if len(members) > 1 else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, members = None, []
+        for batch in parts:
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for band, key, low, high, *member in zip(*cols):
+                if task != (band, key, low, high):
+                    if len(members) > 1:
+                        yield out(task, members)
+                    task, members = (band, key, low, high), []
+                members.append(member)
+        if len(members) > 1:
+            yield out(task, members)
 
-def _stars(keys: DataFrame, buckets: DataFrame, turns: range, n_keys: int, threshold: float) -> DataFrame:
-    """Distinct (node, centre): the members in keys (key, node, n_grams) with their buckets' centres of those turns."""
-    centres = buckets.select("key", "rows", F.array(*[f"pick{t}" for t in turns]).alias("picks"))
-    met = join_unique(keys.select("key", "node", "n_grams"), centres, "key", "rows", n_keys, "inner")
-    met = met.select("node", "n_grams", F.explode_outer("picks").alias("pick")).select("node", "n_grams", "pick.*")
-    # Sets whose sizes differ too much can't be similar enough.
-    least, most = F.least("n_grams", "centre_grams"), F.greatest("n_grams", "centre_grams")
-    met = met.where((F.col("node") != F.col("centre")) & (least >= most * F.lit(threshold - 1e-9)))
-    low, high = F.least("node", "centre"), F.greatest("node", "centre")
-    return met.select(low.alias("node"), high.alias("centre")).distinct()
+    return run
 
 
-def _verify(edges: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """edges (node, centre) with linked: whether the full sets are similar enough."""
-    wanted = edges.select("node").union(edges.select(F.col("centre").alias("node"))).distinct()
-    wanted = wanted.join(classes.select("node", "silt_doc"), "node")
-    texts = docs.select("silt_doc", "text").join(wanted, "silt_doc").select("node", "text")
+def _compare(docs: DataFrame, classes: DataFrame, n_classes: int, threshold: float) -> DataFrame:
+    """node, centre and n_links: how many sets are similar to a node's in parts to be added up, and edges that span them."""
+    keys = classes.select("node", "n_grams", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_grams").alias("grams")).where("rows > 1")
+    buckets = cut(buckets)
+    met = cut(join_unique(keys.select("node", "band", "key"), buckets, "key", "rows", n_classes * BANDS, "inner"))
+    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("silt_doc", "node", "bands")
+    texts = docs.select("silt_doc", "text").join(wanted.select("silt_doc", "node"), "silt_doc").select("node", "text")
     # A class's text may stand in several rows with one doc_id: any of them gives its set.
     sets = texts.mapInArrow(_packed, "node bigint, grams binary").dropDuplicates(["node"])
-    sets = cut(sets)
-    a = sets.select("node", F.col("grams").alias("a"))
-    b = sets.select(F.col("node").alias("centre"), F.col("grams").alias("b"))
-    both = edges.join(a, "node").join(b, "centre").select("node", "centre", "a", "b")
-    return both.mapInArrow(_verified(threshold), "node bigint, centre bigint, linked boolean")
+    sets = sets.join(wanted.select("node", "bands"), "node")
+    n_blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    met = met.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
+    met = met.select("band", "key", "node", "block", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
+    task = ["band", "key", "low", "high"]
+    met = met.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block")
+    rows = met.join(sets, "node").select(*task, "node", "block", "bands", "grams")
+    rows = rows.repartition(*task).sortWithinPartitions(*task)
+    return cut(rows.mapInArrow(_compared(threshold), "node bigint, centre bigint, n_links bigint"))
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,19 +265,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("node", "first", "first.silt_doc", "rows", "n_grams", "bands")
     )
     n_classes = classes.count()
-    one = classes.select("node", "n_grams", F.explode_outer("bands").alias("key"))
-    buckets = _buckets(one)
-    edges = cut(_stars(one, buckets, range(1), n_classes * BANDS, threshold))
-    found = cut(_verify(edges, docs, classes, threshold))
-    unlike = found.where("not linked")
-    failed = cut(unlike.select("node").union(unlike.select("centre")).distinct())
-    others = _stars(one.join(failed, "node", "left_semi"), buckets, range(1, 1 + MORE_CENTRES), n_classes * BANDS, threshold)
-    pairs = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.get("bands", i), F.get("bands", j)) for i, j in combinations(range(BANDS), 2)])
-    two = classes.join(failed, "node", "left_semi").select("node", "n_grams", F.explode_outer(pairs).alias("key"))
-    both = others.union(_stars(two, _buckets(two), range(1), n_classes * BANDS, threshold)).distinct()
-    more = _verify(cut(both.join(edges, ["node", "centre"], "left_anti")), docs, classes, threshold)
-    links = found.union(more).where("linked").select("node", "centre")
-    labels = components(links, classes.select("node"))
+    met = _compare(docs, classes, n_classes, threshold)
+    labels = components(met.where("centre is not null").select("node", "centre"), classes.select("node"))
+    counts = met.where("centre is null").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    labels = labels.select("node", "label").join(counts, "node")
     labelled = classes.select("node", "first", "rows").join(labels, "node", "left")
     label = F.coalesce("label", "node")
     labelled = cut(labelled.select("node", "first", "rows", F.coalesce("n_links", F.lit(0)).alias("n_links"), label.alias("label")))

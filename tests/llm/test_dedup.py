@@ -224,6 +224,33 @@ def test_jaccard_null_ids_and_copies(spark):
     assert out[8]["n_links"] == 1 and jaccard.one_of_each(df).count() == 2
 
 
+def all_pairs(texts):
+    """class_id and n_links of each text by brute force."""
+    s = [sets(t) for t in texts]
+    links, up = [0] * len(s), list(range(len(s)))
+    for i, j in itertools.combinations(range(len(s)), 2):
+        if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
+            links[i] += 1
+            links[j] += 1
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+    return up, links
+
+
+def some_words(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_jaccard_hot_passage_in_texts_of_unlike_length(spark):
+    rng = random.Random(3)
+    passage = some_words(rng, 180)
+    texts = [passage + some_words(rng, 100) for _ in range(800)] + [passage + some_words(rng, 10) for _ in range(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    up, _ = all_pairs([t for _, t in rows])
+    assert up[800:] == [800] * 2 and sorted((r["doc_id"], r["class_id"]) for r in out) == list(enumerate(up))
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101)]
     links = spark.createDataFrame(edges, "node long, centre long")
