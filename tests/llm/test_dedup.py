@@ -251,6 +251,21 @@ def test_jaccard_hot_passage_in_texts_of_unlike_length(spark):
     assert up[800:] == [800] * 2 and sorted((r["doc_id"], r["class_id"]) for r in out) == list(enumerate(up))
 
 
+@pytest.mark.parametrize("block_rows", [512, 16])
+def test_jaccard_links_of_groups(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    rng, texts = random.Random(3), []
+    for size, length in ((3, 60), (7, 120), (45, 200)):
+        base = some_words(rng, length)
+        for _ in range(size):
+            texts.append(list(base))
+            texts[-1][rng.randrange(length)] = "other" + str(len(texts))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + [some_words(rng, 80) for _ in range(5)])]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = [(i, c, n) for i, (c, n) in enumerate(zip(*all_pairs([t for _, t in rows])))]
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == want and max(n for *_, n in want) > 30
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101)]
     links = spark.createDataFrame(edges, "node long, centre long")
