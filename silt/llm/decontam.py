@@ -1,11 +1,11 @@
 """Benchmark decontamination (operator 1): template canonicalisation, in DataFrame functions only.
 
 Texts become tokens in which numbers, units after a number and names (capitalised words within a sentence) are typed
-placeholders. Windows of WINDOW canonical tokens of the benchmark, those with enough literal tokens, are joined by hash
+placeholders. Windows of WINDOW canonical tokens of the benchmark, however many of them are slots, are joined by hash
 with windows of the documents. A hit aligns an item with a place in a document; there all tokens are compared, and
 values of the slots must be replaced consistently (one value of the item by one value in the document). An alignment
 with MIN_MATCH or more equal tokens (all of a shorter item) and consistent slots is a leak, whether the values are the
-item's own or others.
+item's own or others, if MIN_SAME of these tokens are the same with their values: placeholders alone are chance.
 
 Documents' windows are taken every STRIDE tokens, the benchmark's at every token: each run of WINDOW + STRIDE - 1
 equal tokens has such a window, so a leak of MIN_MATCH tokens can't be missed (the stride shrinks for shorter items).
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 STRIDE = 4
-#: Literal (not placeholder) tokens that a benchmark window needs.
-MIN_LITERAL = 5
+#: Tokens of an alignment that are the same in their values too, literals or slots, that a leak needs.
+MIN_SAME = 5
 #: Equal tokens at one alignment that make a leak.
 MIN_MATCH = 13
 BROADCAST_WINDOWS = 2_000_000
@@ -78,11 +78,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("hash", _hashes("item", 1))
     n_windows, shortest = items.agg(F.sum(F.size("hash")), F.min(F.size("own"))).first()
     stride = max(1, min(STRIDE, (shortest or WINDOW) - WINDOW + 1))
-    literal = f"size(filter(slice(item, j + 1, {WINDOW}), x -> x < '{NAME}' or x >= '{AFTER}')) >= {MIN_LITERAL}"
-    windows = items.select("item_id", "own", F.posexplode("hash").alias("j", "hash"), "item").where(F.expr(literal))
+    windows = items.select("item_id", "own", F.posexplode("hash").alias("j", "hash"), "item")
     if (n_windows or 0) <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
-    own = docs.select("doc_id", "text", tokens(F.col("text")).alias("canon"))
+    # As the item's tokens are: a placeholder with a comma or full stop after it is the placeholder.
+    own = docs.select("doc_id", "text", F.transform(tokens(F.col("text")), _canonical).alias("canon"))
     placed = own.select("doc_id", "text", _hashes("canon", stride).alias("hashes"))
     # An outer explode: for an inner one Catalyst adds a filter on the array's size, which computes the array twice.
     placed = placed.select("doc_id", "text", F.posexplode_outer("hashes").alias("i", "hash"))
@@ -102,8 +102,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "silt_doc", "item_id", F.size("own").alias("n_tokens"), F.size("pairs").alias("n_matched"),
         F.size("slots").alias("n_slots"), F.expr("size(filter(slots, x -> x.own <> x.met))").alias("n_changed"),
         F.expr("size(array_distinct(slots)) = size(array_distinct(transform(slots, x -> x.own)))").alias("consistent"),
+        F.expr("size(filter(pairs, x -> x.own = x.met))").alias("same"),
     )
-    leak = F.col("consistent") & (F.col("n_matched") >= F.least(F.lit(MIN_MATCH), F.col("n_tokens")))
+    leak = F.col("consistent") & (F.col("same") >= MIN_SAME) & (F.col("n_matched") >= F.least(F.lit(MIN_MATCH), F.col("n_tokens")))
     best = F.max(F.struct("n_matched", (-F.col("n_changed")).alias("n_same"), "n_slots", "n_tokens")).alias("best")
     out = found.where(leak).groupBy("silt_doc", "item_id").agg(F.first("doc_id").alias("doc_id"), best)
     numbers = [F.col(f"best.{n}").cast("bigint").alias(n) for n in ("n_tokens", "n_matched", "n_slots")]

@@ -133,6 +133,18 @@ def test_leaks(spark):
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_of_items_with_many_slots(spark):
+    items = [
+        (1, "A 12 kg box costs 30 dollars and a 5 kg box costs 14 dollars what is the difference"),
+        (2, "If Alice pays 5 dollars, Bob pays 7 dollars, Carl pays 9 dollars and Dora pays 4 dollars, who pays most?"),
+    ]
+    docs = [(10 * i + n, "and so " + "word " * n + text + " then it ends") for i, text in items for n in range(4)]
+    docs += [(99, "we saw " + " ".join(f"{k} and Xena" for k in range(40))), (98, " ".join(str(k) for k in range(60)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    out = decontam.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(10 * i + n, i) for i, _ in items for n in range(4)]
+
+
 # Language model.
 
 
