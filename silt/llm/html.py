@@ -1,44 +1,60 @@
 """HTML extraction (operator 3): nearest-URL page differencing.
 
-Pages are sorted by host and URL path. Each page is aligned with its nearest neighbour in that order on the same host,
-the one that shares the longer start of the path (the one before on a tie), by the longest common subsequence of their
-text lines; shared lines are what the site repeats, and go. Then what the markup itself names as chrome goes (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments), since those blocks often differ from page to
-page; a line that the page itself declares part of its article is content even if a neighbour repeats
-it, for mirrors, reposts and stock passages share such lines too. On a page with an article (or main) element, lines
-outside it are chrome.
+Pages are sorted by host and URL path. Each page meets its NEIGHBOURS nearest on the same host, those that share the
+longest start of the path, out of as many before and after it in that order, and is aligned with each by longest common
+subsequences, twice: by text lines (a line is its text and its place, the path of elements it lies in) and by places
+(runs of lines at one place, so that rotating menus and adverts align although their texts differ). Then
+
+- text lines that align with two thirds of the neighbours are the site's and go, wherever they lie (but a line that
+  begins with the page's own title is its headline and stays with the content);
+- of the words that no neighbour shares, the page's and its neighbours' at the page's places, the innermost element that
+  holds two thirds of its parent's is the content (an article or main element isn't entered further); lines outside it
+  go if their place aligns with a neighbour's; headings there that don't align by text stay with the content;
+- what the markup names as chrome (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) goes.
+
+Names break ties: where there is no neighbour, or no element holds two thirds of the page's own words, the article element
+is the content, else the main element, else all that isn't named as chrome. A neighbour that holds four fifths of the
+page's words outside named chrome, line by line, is a copy of it (a mirror, a repost) and isn't a neighbour: its lines
+are no evidence of what the site repeats.
 
 Edge cases: null or empty html gives an empty text; a null URL counts as an empty host and path, so such pages are
-neighbours of each other; a page alone on its host is not differenced; two pages without articles that share four
-fifths of their words are taken as copies of one page and not differenced; repeated rows are neighbours, hence copies; an
-empty table gives an empty table; of the input columns only page_id, url and html are read. No page is ever dropped or
+neighbours of each other; a page alone on its host, or with copies alone, is judged by names; repeated rows are copies;
+an empty table gives an empty table; of the input columns only page_id, url and html are read. No page is ever dropped or
 cut, and nothing gathers a host in one task: hosts are split over range partitions, and the pages on either side of a
-cut are known to both partitions.
+cut are known to both partitions. A page costs time in proportion to its length, unclosed tags and quotes included.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from silt.llm.common import as_bytes, input_bytes, shuffle_partitions, slices
 
 CHROME, OUTSIDE, MAIN, ARTICLE = 0, 1, 2, 3
+#: Partitions of pages, at most: a task streams its pages, so larger ones take time, not memory.
+MOST_PARTITIONS = 16_384
 
+#: An unclosed tag, quoted value or comment goes on to the end of the page, so no start of one is read twice.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S
+)
 _NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: What an element's attributes must have to say anything about its zone.
 _TELLING = re.compile("class|id|role|hidden|display", re.I)
 _BLANK = re.compile(r"\s+")
+_TITLE = re.compile(r"<title\b[^>]*+>([^<]*+)", re.I)
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head".split())
 CHROME_TAGS = frozenset("nav header footer aside form dialog menu button".split())
@@ -64,16 +80,50 @@ MAIN_NAMES = frozenset("main maincontent contentmain".split())
 _PART = re.compile(r"[A-Za-z]+")
 
 
+#: Elements that are lines of text themselves: the content is never less than what holds them.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote td th tr tbody table address figcaption hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEIGHBOURS = 6
+
+
 @dataclass
 class Page:
+    """Text lines, each with its zone by name and its place; a place's parent comes before it, places[0] is the page."""
+
+    title: str = ""
     lines: list[str] = field(default_factory=list)
     zones: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])
+    tags: list[str] = field(default_factory=lambda: [""])
+    kinds: list[int] = field(default_factory=lambda: [1])
+    hashes: list[int] = field(default_factory=lambda: [0])
 
     @property
     def wanted(self) -> int:
-        """The zone of the main text: the article if there is one, else the main element, else all that is no chrome."""
+        """The zone of the main text by names: the article if there is one, else the main element, else all that is no chrome."""
         return max((z for z in self.zones if z > OUTSIDE), default=OUTSIDE)
 
+    def summary(self) -> Summary:
+        words = [x.count(" ") + 1 for x in self.lines]
+        places = [self.hashes[i] for i in self.at]
+        keys = [_hash(f"{p} {x}") for p, x in zip(places, self.lines)]
+        return Summary(keys, places, words)
+
+
+@dataclass
+class Summary:
+    """What a neighbour needs to know of a page: of each line, a hash of text and place, a hash of the place, and words."""
+
+    keys: list[int]
+    places: list[int]
+    words: list[int]
+
+
+def _hash(x: str) -> int:
+    h = xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
 
 def _kind(tag: str, attributes: str, inside_article: bool) -> int:
     """-1: raw; or the zone that an element opens, OUTSIDE if none."""
@@ -103,9 +153,10 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int:
 
 
 def parse(html: str) -> Page:
-    """The text lines of a page, one for each block in page order, with the zone each lies in."""
-    page, stack, text, at, zone_of_text = Page(), [], [], 0, OUTSIDE
+    """The text lines of a page, one for each block in page order, with the zone and the place each lies in."""
+    page, stack, text, at, zone_of_text, place_of_text = Page(), [], [], 0, OUTSIDE, 0
     chrome = article = main = 0
+    place, known, opened = 0, {}, Counter()
 
     def zone() -> int:
         return CHROME if chrome else ARTICLE if article else MAIN if main else OUTSIDE
@@ -116,15 +167,27 @@ def parse(html: str) -> Page:
         if line:
             page.lines.append(line)
             page.zones.append(zone_of_text)
+            page.at.append(place_of_text)
+
+    def leave() -> int:
+        nonlocal chrome, article, main, place
+        tag, kind, place = stack.pop()
+        opened[tag] -= 1
+        chrome -= kind == CHROME
+        article -= kind == ARTICLE
+        main -= kind == MAIN
+        return kind
 
     for m in iter(_tokens(html)):
         if m.start() > at:
             if not text:
-                zone_of_text = zone()
+                zone_of_text, place_of_text = zone(), place
             text.append(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if isinstance(m, _Span) and m.tag == "head" and (own := _TITLE.search(html, m.start(), m.end())):
+                page.title = _BLANK.sub(" ", unescape(own[1])).strip()
             continue
         if tag in BLOCK:
             flush()
@@ -132,53 +195,68 @@ def parse(html: str) -> Page:
             text.append(" ")
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                for _, kind in stack[depth:]:
-                    chrome -= kind == CHROME
-                    article -= kind == ARTICLE
-                    main -= kind == MAIN
-                if any(kind != OUTSIDE for _, kind in stack[depth:]):
+            while opened[tag]:
+                last = stack[-1][0]
+                if stack[-1][1] != OUTSIDE:
                     flush()
-                del stack[depth:]
+                leave()
+                if last == tag:
+                    break
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                leave()
             kind = _kind(tag, m[3], article > 0)
             if kind in (CHROME, MAIN, ARTICLE):
                 flush()
             chrome += kind == CHROME
             article += kind == ARTICLE
             main += kind == MAIN
-            stack.append((tag, kind))
+            stack.append((tag, kind, place))
+            opened[tag] += 1
+            if tag in BLOCK or kind != OUTSIDE:
+                place = _place(page, known, place, tag, kind, m[3])
     if at < len(html):
         if not text:
-            zone_of_text = zone()
+            zone_of_text, place_of_text = zone(), place
         text.append(html[at:])
     flush()
     return page
 
 
+def _place(page: Page, known: dict, parent: int, tag: str, kind: int, attributes: str) -> int:
+    """The place of an element within its parent, told by its tag and class."""
+    name = _CLASS.search(attributes) if "class" in attributes else None
+    key = (parent, tag, " ".join(sorted("".join(x or "" for x in name.groups()).split())) if name else "")
+    if key not in known:
+        known[key] = len(page.parents)
+        page.parents.append(parent)
+        page.tags.append(tag)
+        page.kinds.append(kind)
+        page.hashes.append(_hash(f"{page.hashes[parent]} {tag} {key[2]}"))
+    return known[key]
+
+
 def _tokens(html: str) -> Iterator[re.Match]:
     """Tags and comments outside raw elements; the content of a raw element is skipped."""
-    at = 0
+    at, endless = 0, set()
     while m := _TAG.search(html, at):
         at = m.end()
         tag = (m[2] or "").lower()
-        if tag in RAW and not m[1] and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+        if tag in RAW and tag not in endless and not m[1] and not m[3].rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
             if end or tag != "head":
                 at = end.end() if end else len(html)
-                yield _Span(m.start(), at)
+                yield _Span(tag, m.start(), at)
                 continue
+            endless.add(tag)
         yield m
 
 
 class _Span:
     """Stands for a raw element as a whole."""
 
-    def __init__(self, start: int, end: int) -> None:
-        self._at = start, end
+    def __init__(self, tag: str, start: int, end: int) -> None:
+        self.tag, self._at = tag, (start, end)
 
     def start(self) -> int:
         return self._at[0]
@@ -230,24 +308,64 @@ def common_lines(a: list, b: list) -> list[int]:
     return sorted(out)
 
 
-def differenced(page: Page, other: list | None) -> list[str]:
-    """The page's main text lines; other: the keys of the neighbour's lines."""
-    gone: set[int] = set()
-    if other:
-        keys = line_keys(page.lines)
-        gone = set(common_lines(keys, other))
-        free = [i for i, z in enumerate(page.zones) if z == page.wanted]
-        words = [page.lines[i].count(" ") + 1 for i in free]
-        if page.wanted == ARTICLE or 5 * sum(w for i, w in zip(free, words) if i in gone) >= 4 * sum(words):
-            gone = set()
-    wanted = page.wanted
-    return [x for i, (x, z) in enumerate(zip(page.lines, page.zones)) if z == wanted and (z == ARTICLE or i not in gone)]
-
+def differenced(page: Page, near: list[Summary] = (), own: Summary | None = None, names: bool = True) -> list[str]:
+    """The page's main text lines; near: its neighbours; own: its summary; names: whether the markup's names count."""
+    own = own or page.summary()
+    chrome = [names and z == CHROME for z in page.zones]
+    aligned = [common_lines(own.keys, s.keys) for s in near]
+    free = sum(w for w, c in zip(own.words, chrome) if not c)
+    copy = [5 * sum(own.words[i] for i in x if not chrome[i]) >= 4 * free for x in aligned]
+    near, aligned = ([x for x, c in zip(of, copy) if not c] for of in (near, aligned))
+    shared = Counter(i for x in aligned for i in x)
+    headline = page.title or "\n"
+    site = {i for i, n in shared.items() if 3 * n >= 2 * len(near) and not page.lines[i].startswith(headline)}
+    content = _content(page, own, near, shared, chrome, names) if near else None
+    if content is None:
+        wanted = page.wanted if names else None
+        return [x for i, x in enumerate(page.lines) if i not in site and (wanted is None or page.zones[i] == wanted)]
+    inside = [p == content for p in range(len(page.parents))]
+    for p in range(1, len(inside)):
+        inside[p] |= inside[page.parents[p]]
+    repeated = _aligned_places(own.places, near)
+    return [
+        x
+        for i, (x, p) in enumerate(zip(page.lines, page.at))
+        if i not in site and not chrome[i]
+        and (inside[p] or own.places[i] not in repeated or (page.tags[p] in HEADINGS and i not in shared))
+    ]
+
+
+def _content(page: Page, own: Summary, near: list[Summary], shared, chrome: list[bool], names: bool) -> int | None:
+    """The place of the content: the innermost element with two thirds of its parent's unshared words; None if unclear."""
+    words: Counter = Counter()
+    for i, (place, n) in enumerate(zip(own.places, own.words)):
+        words[place] += 0 if i in shared or chrome[i] else n
+    barred, mine = {own.places[i] for i, c in enumerate(chrome) if c}, set(own.keys)
+    for s in near:
+        for key, place, n in zip(s.keys, s.places, s.words):
+            if place in words and place not in barred and key not in mine:
+                words[place] += n
+    total = [words[h] for h in page.hashes]
+    for p in range(len(total) - 1, 0, -1):
+        total[page.parents[p]] += total[p]
+    children: dict[int, list[int]] = {}
+    for p in range(1, len(total)):
+        children.setdefault(page.parents[p], []).append(p)
+    at = 0
+    while not (names and page.kinds[at] in (MAIN, ARTICLE) and page.kinds[at] == page.wanted):
+        best = max(children.get(at, ()), key=lambda p: total[p], default=None)
+        if best is None or page.tags[best] in TEXT or 3 * total[best] < 2 * total[at]:
+            break
+        at = best
+    if names and page.wanted != OUTSIDE and page.kinds[at] != page.wanted:
+        return None  # the markup declares a main text, and the words don't lie in one element that could overrule it
+    return at if total[0] else None
 
-def line_keys(lines: list[str]) -> list[int]:
-    from xxhash import xxh3_64_intdigest
 
-    return [xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
+def _aligned_places(own: list[int], near: list[Summary]) -> set[int]:
+    """The places whose runs of lines align with a neighbour's."""
+    runs = [p for p, _ in groupby(own)]
+    return {runs[i] for s in near for i in common_lines(runs, [p for p, _ in groupby(s.places)])}
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -268,39 +386,50 @@ def _rows(batches: Iterator[pa.RecordBatch], uses: list[str]) -> Iterator[tuple]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, path and line keys of a partition's first and last page, for the partitions after and before it."""
-    first = last = None
+    """Host, path and summary of a partition's first and last pages, for the partitions after and before it."""
+    first, last, part = [], deque(maxlen=NEIGHBOURS), 0
     for row in _rows(batches, ["silt_part", "silt_host", "silt_path", "html"]):
-        first, last = first or row, row
-    for row, to, side in ((first, -1, 1), (last, 1, 0)):
-        if row:
-            keys = [x - (1 << 64) if x >> 63 else x for x in line_keys(parse(row[3]).lines)]
+        part = row[0]
+        if len(first) < NEIGHBOURS:
+            first.append(row)
+        last.append(row)
+    for rows, to, side in ((first, -1, 1), (list(last), 1, 0)):
+        for k, row in enumerate(rows):
+            s = parse(row[3]).summary()
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            values = (part + to, side, k, row[1], row[2], s.keys, s.places, s.words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row[0] + to], pa.int32()), pa.array([side], pa.int32()), pa.array([row[1]], pa.string())]
-                + [pa.array([row[2]], pa.string()), pa.array([keys], pa.list_(pa.int64()))],
-                names=["to_part", "side", "host", "path", "keys"],
+                [pa.array([v], t) for v, t in zip(values, kinds)],
+                names=["to_part", "side", "k", "host", "path", "keys", "places", "words"],
             )
 
 
+def nearest(path: str, before: list[tuple], after: list[tuple]) -> list[Summary]:
+    """Of pages (path, summary) before and after one, each list nearest first, the summaries of the NEIGHBOURS nearest:
+    the longest shared start of the path, then the fewer pages between, then the one before."""
+    ranked = [(-_shared_start(p, path), k, side, s) for side, of in enumerate((before, after)) for k, (p, s) in enumerate(of)]
+    return [s for *_, s in sorted(ranked, key=lambda x: x[:3])[:NEIGHBOURS]]
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host and path, each with its nearest neighbour; three pages are held at a time."""
+    """Pages in order of host and path, each with its neighbours; 2 * NEIGHBOURS + 1 pages are held at a time."""
     uses = ["page_id", "url", "silt_host", "silt_path", "html", "before", "after"]
     out: list[list] = [[], [], [], []]
     size = 0
 
-    def edge(e: dict | None) -> tuple | None:
-        return e and (e["host"], e["path"], [x & ((1 << 64) - 1) for x in e["keys"]])
+    def edge(pages: list[dict] | None) -> list[tuple]:
+        return [(None, e["host"], e["path"], None, Summary(e["keys"], e["places"], e["words"])) for e in pages or ()]
 
-    def done(prev, row, page, keys, nxt) -> None:
+    def done(k: int) -> None:
         nonlocal size
-        best, most = None, -1
-        for side in (prev, nxt):
-            if side and side[0] == row[2] and (n := _shared_start(side[1], row[3])) > most:
-                best, most = side, n
-        text = "\n".join(differenced(page, best and best[2]))
+        row, host, path, page, own = held[k]
+        before = [(x[2], x[4]) for x in reversed(held[max(0, k - NEIGHBOURS) : k]) if x[1] == host]
+        after = [(x[2], x[4]) for x in held[k + 1 : k + 1 + NEIGHBOURS] if x[1] == host]
+        text = "\n".join(differenced(page, nearest(path, before, after), own))
         for col, x in zip(out, (row[0], row[1], text, len(text))):
             col.append(x)
         size += len(text)
+        held[k] = (None, host, path, None, own)
 
     def batch() -> pa.RecordBatch:
         types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -309,29 +438,34 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.clear()
         return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    prev = held = None
+    held: list[tuple] = []  # pages before, and those that wait for the ones after them
+    at, tail = 0, None
     for row in _rows(batches, uses):
+        if tail is None:
+            held, tail = edge(row[5]), row[6]
+            at = len(held)
         page = parse(row[4])
-        now = (row, page, line_keys(page.lines))
-        if held:
-            r, p, k = held
-            done(prev, r, p, k, (row[2], row[3], now[2]))
-            prev = (r[2], r[3], k)
-        else:
-            prev = edge(row[5])
-        held = now
+        held.append((row[:2], row[2], row[3], page, page.summary()))
+        if len(held) - at > NEIGHBOURS:
+            done(at)
+            at += 1
+            if at > 4 * NEIGHBOURS:
+                held = held[at - NEIGHBOURS :]
+                at = NEIGHBOURS
         if size > 4 << 20:
             yield batch()
             size = 0
-    if held:
-        done(prev, *held, edge(held[0][6]))
+    n = len(held)
+    held += edge(tail)
+    for k in range(at, n):
+        done(k)
     yield batch()
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) for every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    n = max(shuffle_partitions(spark), -(-input_bytes(pages) // (16 << 20)))
+    n = max(shuffle_partitions(spark), min(MOST_PARTITIONS, -(-input_bytes(pages) // (16 << 20))))
     url = F.coalesce(F.col("url"), F.lit(""))
     ranged = (
         pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
@@ -342,12 +476,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         .withColumn("silt_part", F.spark_partition_id())
     )
     edges = ranged.select("silt_part", "silt_host", "silt_path", "html").mapInArrow(
-        _edges, "to_part int, side int, host string, path string, keys array<bigint>"
+        _edges, "to_part int, side int, k int, host string, path string, keys array<bigint>, places array<bigint>, words array<int>"
     )
-    # Two rows a partition, of hashes: the broadcast is bounded by the partition count, whatever the table holds.
+    # 2 * NEIGHBOURS rows a partition, of hashes: the broadcast is bounded by the number of partitions.
+    one = F.struct("k", "host", "path", "keys", "places", "words")
     ends = edges.groupBy("to_part").agg(
-        F.max(F.when(F.col("side") == 0, F.struct("host", "path", "keys"))).alias("before"),
-        F.max(F.when(F.col("side") == 1, F.struct("host", "path", "keys"))).alias("after"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, one))).alias("before"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, one))).alias("after"),
     )
     return (
         ranged.join(F.broadcast(ends), F.col("silt_part") == F.col("to_part"), "left")

@@ -1,5 +1,7 @@
 import gzip
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -51,7 +53,7 @@ def test_article(spark):
     ],
 )
 def test_markup(page, want):
-    assert "\n".join(html.differenced(html.parse(page), None)) == want
+    assert "\n".join(html.differenced(html.parse(page))) == want
 
 
 def test_differencing_removes_what_neighbours_share(spark):
@@ -70,6 +72,81 @@ def test_copies_of_a_page_are_kept(spark):
     assert {r["text"] for r in html.extract_main_text(df).collect()} == {"all of this is the same\non both pages"}
 
 
+def test_copies_are_no_evidence_of_what_the_site_repeats():
+    own = [f"<p>{w} is told at some length in this paragraph of the page</p>" for w in ("first", "second", "third")]
+    site = "<p>Follow this site for more</p>"
+    page = html.parse(site + "".join(own))
+    copy = html.parse(site + "<p>Mirrored</p>" + "".join(own)).summary()
+    others = [html.parse(site + f"<p>{w} and other stories are told elsewhere</p>").summary() for w in ("cats", "dogs")]
+    assert len(html.differenced(page, [copy] * 4)) == 4
+    assert html.differenced(page, [copy] * 4 + others) == [x for x in page.lines if x[:6] != "Follow"]
+
+
+UNNAMED = (
+    "<html><head><title>{i}</title></head><body><div><div><a>{menu}</a></div><div><a>Prices {menu}</a></div></div>"
+    "<div><p>Join our list of readers</p></div>"
+    "<section><h1>Story {i}</h1><p>{story}</p><p>Thanks for reading, please share it</p><p>{more}</p></section>"
+    "<div><p>{menu} and {i} at the end</p></div></body></html>"
+)
+
+
+def _unnamed(rng, i):
+    words = lambda n: " ".join(f"w{rng.integers(0, 500)}" for _ in range(n))
+    own = {"story": words(30), "more": words(25)}
+    return UNNAMED.format(i=i, menu=f"menu{rng.integers(0, 40)}", **own), "\n".join([f"Story {i}", own["story"], own["more"]])
+
+
+def test_neighbours_tell_chrome_that_nothing_names(spark):
+    rng = np.random.default_rng(5)
+    pages = [_unnamed(rng, i) for i in range(40)]
+    rows = [(i, f"http://h.example/{i % 3}/{i:02d}", page) for i, (page, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()}
+    assert [out[i] for i in range(40)] == [want for _, want in pages]
+    assert not any("\n".join(html.differenced(html.parse(page))) == want for page, want in pages)
+
+
+def _sorted_hosts(rows):
+    """(page_id, page, summary, neighbours) by brute force, in the order of host and path."""
+    rows = sorted((re.match(r"\w+://([^/]*)(.*)", url).groups(), i, text) for i, url, text in rows)
+    pages = [html.parse(text or "") for *_, text in rows]
+    for k, ((host, path), i, _) in enumerate(rows):
+        side = lambda of: [(rows[j][0][1], pages[j].summary()) for j in of if rows[j][0][0] == host]
+        before = side(range(k - 1, max(-1, k - 1 - html.NEIGHBOURS), -1))
+        after = side(range(k + 1, min(len(rows), k + 1 + html.NEIGHBOURS)))
+        yield i, pages[k], pages[k].summary(), html.nearest(path, before, after)
+
+
+def test_pairing_over_random_hosts(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(150):
+        host, path = f"h{min(rng.integers(0, 9), 3)}", "/".join(str(x) for x in rng.integers(0, 3, 3))
+        page = "".join(f"<p>line{rng.integers(0, 12)}</p>" for _ in range(rng.integers(0, 7)))
+        rows.append((i, f"http://{host}/{path}?{i:03d}", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(df.repartition(9)).collect()}
+    assert out == {i: "\n".join(html.differenced(page, near, own)) for i, page, own, near in _sorted_hosts(rows)}
+
+
+def test_pages_of_the_small_table_without_their_neighbours(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    alone = beside = exact = 0
+    for _, page, own, near in _sorted_hosts(rows):
+        article = [x for x, z in zip(page.lines, page.zones) if z == html.ARTICLE]
+        alone += html.differenced(page, [], own, names=False) == article
+        beside += html.differenced(page, near, own, names=False) == article
+        exact += html.differenced(page, near, own) == article
+    assert exact == len(rows) and alone == 0 and beside > 0.8 * len(rows)
+
+
+@pytest.mark.parametrize("start", ["<i x ", "<a x=\"", "<!x ", "<head>", "</script ", "<div>", "<p class=", "<a b='", "<i></b>"])
+def test_unclosed_markup_is_read_in_linear_time(start):
+    began = time.perf_counter()
+    html.parse(start * (1_000_000 // len(start)))
+    assert time.perf_counter() - began < 10
+
+
 def test_page_operators_on_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract_main_text(none).count() == 0 and warc.build_derivatives(none).count() == 0
