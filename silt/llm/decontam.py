@@ -1,17 +1,23 @@
 """Benchmark decontamination (operator 1): template canonicalisation, in DataFrame functions only.
 
 Texts become tokens in which numbers, units after a number and names (capitalised words within a sentence) are typed
-placeholders. Windows of WINDOW canonical tokens of the benchmark, however many of them are slots, are joined by hash
-with windows of the documents. A hit aligns an item with a place in a document; there all tokens are compared, and
-values of the slots must be replaced consistently (one value of the item by one value in the document). An alignment
-with MIN_MATCH or more equal tokens (all of a shorter item) and consistent slots is a leak, whether the values are the
-item's own or others, if MIN_SAME of these tokens are the same with their values: placeholders alone are chance.
+placeholders. Windows of WINDOW canonical tokens, however many of them are slots, are taken at every token of the
+benchmark and of the documents and joined by hash. A hit aligns an item with a place in a document, where the tokens of
+both are compared pair by pair; a pair is equal if its canonical tokens or its values are. The alignment is a leak if
 
-Documents' windows are taken every STRIDE tokens, the benchmark's at every token: each run of WINDOW + STRIDE - 1
-equal tokens has such a window, so a leak of MIN_MATCH tokens can't be missed (the stride shrinks for shorter items).
+- MIN_MATCH or more of its pairs are equal (all of a shorter item), MIN_SAME of them in their values too: placeholders
+  alone are chance; and
+- the values of its slots are replaced consistently (one value of the item by one value in the document) within its
+  stretch, the run of pairs with the largest sum of +1 for an equal and -1 for an unequal one (beyond it lies the
+  document's own text), or MIN_MATCH pairs in a row (all of a shorter item) are equal in their values, whatever else.
 
-The benchmark's windows are counted and broadcast up to BROADCAST_WINDOWS; a larger benchmark is joined by a shuffle.
-Hits are keyed by document, so a passage that a third of the documents hold makes no hot key.
+So every alignment that holds WINDOW equal canonical tokens in a row is judged by all its pairs, wherever in the
+document it lies. An item's first word is a name or not by what stands before it; its windows are taken both ways.
+
+The benchmark's windows are counted and broadcast up to `broadcast_windows`; those of a larger benchmark are joined by a
+shuffle of (document, place, hash), salted so that a window which very many documents hold is split. Texts are fetched
+once for each document with a hit, in pieces of PIECE tokens, and hits are keyed by document and piece, so neither a
+passage that a third of the documents hold nor a long document makes a hot key or a quadratic term.
 
 Edge cases: null or empty texts match nothing; items of fewer than WINDOW tokens are too short to tell a leak from
 chance and match nothing; items with equal text each get their rows; repeated documents (equal doc_id and text) get
@@ -23,8 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silt.llm.common import cut
+
 WINDOW = 8
-STRIDE = 4
+#: Tokens of a piece of a document that hits are compared with; the longest item's tokens come on top.
+PIECE = 512
+#: Parts of the key of a window where windows are joined by a shuffle.
+SALTS = 16
 #: Tokens of an alignment that are the same in their values too, literals or slots, that a leak needs.
 MIN_SAME = 5
 #: Equal tokens at one alignment that make a leak.
@@ -58,58 +69,118 @@ def _canonical(token: Column) -> Column:
     return F.when((token >= NAME) & (token < AFTER), F.substring(token, 1, 1)).otherwise(token)
 
 
-def _hashes(canon: str, stride: int) -> Column:
-    """Hashes of the windows of a token array that start at every stride-th token."""
+def _hashes(canon: str) -> Column:
+    """Hashes of the windows of a token array, one for each token that a window starts at."""
     return F.expr(
         f"""if(size({canon}) >= {WINDOW},
-            transform(sequence(0, size({canon}) - {WINDOW}, {stride}), i -> xxhash64(slice({canon}, i + 1, {WINDOW}))),
-            array())"""
+            transform(sequence(0, size({canon}) - {WINDOW}), i -> xxhash64(slice({canon}, i + 1, {WINDOW}))), array())"""
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _value(token: Column) -> Column:
+    """A token without its placeholder, and without the comma or full stop that may follow a slot."""
+    slot = (token >= NAME) & (token < AFTER)
+    return F.when(slot, F.rtrim(F.substring(token, 2, 1_000_000), F.lit(".,"))).otherwise(token)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """own (values), canon (canonical tokens) and ids of each distinct text of the benchmark."""
+    items = benchmark.groupBy("text").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("ids"))
+    items = items.withColumn("own", tokens(F.col("text"), "$0")).where(F.size("own") >= WINDOW)
+    return items.withColumn("item", F.xxhash64("text")).withColumn("canon", F.transform("own", _canonical))
+
+
+def _windows(items: DataFrame) -> DataFrame:
+    """hash, item and j (the window's first token); the first token as it is at a text's start and within a sentence."""
+    within = F.transform(tokens(F.concat(F.lit("a "), F.ltrim("text"))), _canonical)
+    within = F.slice(within, 2, WINDOW)
+    first = items.select("item", F.lit(0).alias("j"), F.xxhash64(within).alias("hash"))
+    every = items.withColumn("hashes", _hashes("canon")).select("item", F.posexplode("hashes").alias("j", "hash"))
+    return every.unionByName(first).distinct()
+
+
+def _hits(docs: DataFrame, windows: DataFrame, n_windows: int, broadcast_windows: int) -> DataFrame:
+    """silt_doc, item and at (the place of the item's first token) of each alignment that shares a window."""
+    # As the item's tokens are: a placeholder with a comma or full stop after it is the placeholder.
+    canon = F.transform(tokens(F.col("text")), _canonical).alias("canon")
+    hashes = docs.select(F.xxhash64("doc_id", "text").alias("silt_doc"), canon).select("silt_doc", _hashes("canon").alias("hashes"))
+    # An outer explode: for an inner one Catalyst adds a filter on the array's size, which computes the array twice.
+    placed = hashes.select("silt_doc", F.posexplode_outer("hashes").alias("i", "hash"))
+    if n_windows <= broadcast_windows:
+        met = placed.join(F.broadcast(windows), "hash")
+    else:
+        salted = windows.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+        met = placed.withColumn("salt", F.expr(f"cast(pmod(xxhash64(silt_doc, i), {SALTS}) as int)")).join(salted, ["hash", "salt"])
+    return met.select("silt_doc", "item", (F.col("i") - F.col("j")).alias("at")).distinct()
+
+
+_STRETCH = """aggregate(sequence(0, size(pairs) - 1),
+    named_struct('sum', 0, 'start', 0, 'best', 0, 'low', 0, 'high', -1),
+    (s, i) -> if(s.sum + if(pairs[i].eq, 1, -1) < 0,
+        named_struct('sum', 0, 'start', i + 1, 'best', s.best, 'low', s.low, 'high', s.high),
+        if(s.sum + if(pairs[i].eq, 1, -1) >= s.best,
+            named_struct('sum', s.sum + if(pairs[i].eq, 1, -1), 'start', s.start, 'best', s.sum + if(pairs[i].eq, 1, -1),
+                'low', s.start, 'high', i),
+            named_struct('sum', s.sum + if(pairs[i].eq, 1, -1), 'start', s.start, 'best', s.best, 'low', s.low, 'high', s.high))))"""
+_RUN = """aggregate(pairs, named_struct('now', 0, 'most', 0),
+    (s, x) -> named_struct('now', if(x.same, s.now + 1, 0), 'most', if(x.same, greatest(s.most, s.now + 1), s.most)), s -> s.most)"""
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Leaks of benchmark (item_id, text) in docs (doc_id, text): one row for each document and item.
 
     doc_id, item_id, n_tokens (of the item), n_matched, n_slots and n_changed (slots whose value differs) of the best
     alignment, and silt_doc, a hash of doc_id and text.
     """
-    items = benchmark.select("item_id", tokens(F.col("text"), "$0").alias("own")).where(F.size("own") >= WINDOW)
-    items = items.withColumn("item", F.transform("own", _canonical))
-    items = items.withColumn("hash", _hashes("item", 1))
-    n_windows, shortest = items.agg(F.sum(F.size("hash")), F.min(F.size("own"))).first()
-    stride = max(1, min(STRIDE, (shortest or WINDOW) - WINDOW + 1))
-    windows = items.select("item_id", "own", F.posexplode("hash").alias("j", "hash"), "item")
-    if (n_windows or 0) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    # As the item's tokens are: a placeholder with a comma or full stop after it is the placeholder.
-    own = docs.select("doc_id", "text", F.transform(tokens(F.col("text")), _canonical).alias("canon"))
-    placed = own.select("doc_id", "text", _hashes("canon", stride).alias("hashes"))
-    # An outer explode: for an inner one Catalyst adds a filter on the array's size, which computes the array twice.
-    placed = placed.select("doc_id", "text", F.posexplode_outer("hashes").alias("i", "hash"))
-    hits = placed.join(windows, "hash").withColumn("at", F.col("i") * stride - F.col("j"))
+    docs = docs.select("doc_id", "text")
+    items = cut(_items(benchmark))
+    windows = cut(_windows(items))
+    longest = items.agg(F.max(F.size("own"))).first()[0] or 0
+    hits = cut(_hits(docs, windows, windows.count(), broadcast_windows))
+    doc = docs.withColumn("silt_doc", F.xxhash64("doc_id", "text"))
+    doc = doc.join(hits.select("silt_doc").distinct(), "silt_doc", "left_semi")
+    doc = doc.groupBy("silt_doc").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    piece = f"""transform(sequence(0, (size(tokens) - 1) div {PIECE}),
+        k -> named_struct('piece', k, 'tokens', slice(tokens, int(k * {PIECE} + 1), {PIECE + longest})))"""
+    doc = doc.select("silt_doc", "doc_id", tokens(F.col("text"), "$0").alias("tokens"))
+    pieces = doc.select("silt_doc", "doc_id", F.explode_outer(F.expr(piece)).alias("p")).select("silt_doc", "doc_id", "p.piece", "p.tokens")
+    hits = hits.withColumn("piece", F.expr(f"cast(greatest(at, 0) div {PIECE} as bigint)"))
+    sides = items.select("item", "own", "canon")
+    if windows.count() <= broadcast_windows:
+        sides = F.broadcast(sides)
+    found = hits.join(pieces.withColumn("piece", F.col("piece").cast("bigint")), ["silt_doc", "piece"]).join(sides, "item")
     # The tokens of the document that lie beside the item's; null where it sticks out.
-    found = hits.withColumn("doc_tokens", tokens(F.col("text"), "$0")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("silt_doc"), "item_id", "at", "own", "item",
-        F.expr("transform(sequence(at, at + size(own) - 1), p -> get(doc_tokens, p))").alias("met"),
+    beside = F.expr(f"transform(sequence(at, at + size(own) - 1), p -> get(tokens, int(p - piece * {PIECE})))")
+    found = found.select("silt_doc", "doc_id", "item", "at", "canon", F.transform("own", _value).alias("own"), beside.alias("met"))
+    found = found.select(
+        "silt_doc", "doc_id", "item", "at", "canon", "own", F.transform("met", _canonical).alias("met_canon"),
+        F.transform("met", _value).alias("met"),
+    )
+    pairs = f"""transform(arrays_zip(own, met, canon, met_canon), x -> named_struct('own', x.own, 'met', x.met,
+        'slot', x.canon >= '{NAME}' and x.canon < '{AFTER}', 'same', x.own <=> x.met, 'eq', x.own <=> x.met or x.canon <=> x.met_canon))"""
+    found = found.select("silt_doc", "doc_id", "item", F.expr(pairs).alias("pairs"))
+    found = found.select(
+        "silt_doc", "doc_id", "item", F.size("pairs").alias("n_tokens"), "pairs", F.expr(_STRETCH).alias("s"), F.expr(_RUN).alias("run"),
     )
-    found = found.dropDuplicates(["silt_doc", "item_id", "at", "own"])
-    met = F.transform("met", _canonical)
-    found = found.withColumn("pairs", F.arrays_zip("own", "met", "item", met.alias("canon")))
-    found = found.withColumn("pairs", F.expr("filter(pairs, x -> x.item = x.canon)"))
-    slots = f"filter(pairs, x -> x.item >= '{NAME}' and x.item < '{AFTER}')"
-    found = found.withColumn("slots", F.expr(f"transform({slots}, x -> named_struct('own', x.own, 'met', x.met))"))
+    slots = "filter(slice(pairs, s.low + 1, s.high - s.low + 1), x -> x.slot and x.eq)"
     found = found.select(
-        "doc_id", "silt_doc", "item_id", F.size("own").alias("n_tokens"), F.size("pairs").alias("n_matched"),
-        F.size("slots").alias("n_slots"), F.expr("size(filter(slots, x -> x.own <> x.met))").alias("n_changed"),
-        F.expr("size(array_distinct(slots)) = size(array_distinct(transform(slots, x -> x.own)))").alias("consistent"),
-        F.expr("size(filter(pairs, x -> x.own = x.met))").alias("same"),
+        "silt_doc", "doc_id", "item", "n_tokens", "run",
+        F.expr("size(filter(pairs, x -> x.eq))").alias("n_matched"),
+        F.expr("size(filter(pairs, x -> x.slot and x.eq))").alias("n_slots"),
+        F.expr("size(filter(pairs, x -> x.slot and x.eq and not x.same))").alias("n_changed"),
+        F.expr("size(filter(pairs, x -> x.same))").alias("same"),
+        F.expr(f"array_distinct(transform({slots}, x -> named_struct('own', x.own, 'met', x.met)))").alias("replaced"),
     )
-    leak = F.col("consistent") & (F.col("same") >= MIN_SAME) & (F.col("n_matched") >= F.least(F.lit(MIN_MATCH), F.col("n_tokens")))
+    consistent = F.expr("size(replaced) = size(array_distinct(transform(replaced, x -> x.own)))")
+    needed = F.least(F.lit(MIN_MATCH), F.col("n_tokens"))
+    leak = (F.col("n_matched") >= needed) & (F.col("same") >= MIN_SAME) & (consistent | (F.col("run") >= needed))
     best = F.max(F.struct("n_matched", (-F.col("n_changed")).alias("n_same"), "n_slots", "n_tokens")).alias("best")
-    out = found.where(leak).groupBy("silt_doc", "item_id").agg(F.first("doc_id").alias("doc_id"), best)
+    out = found.where(leak).groupBy("silt_doc", "item").agg(F.first("doc_id").alias("doc_id"), best)
+    ids = items.select("item", F.explode("ids").alias("id"))
+    item_id = F.when(F.col("id") != "", F.col("id")).cast(benchmark.schema["item_id"].dataType).alias("item_id")
     numbers = [F.col(f"best.{n}").cast("bigint").alias(n) for n in ("n_tokens", "n_matched", "n_slots")]
     changed = (-F.col("best.n_same")).cast("bigint").alias("n_changed")
-    return out.select("doc_id", "item_id", *numbers, changed, "silt_doc")
+    return out.join(ids, "item").select("doc_id", item_id, *numbers, changed, "silt_doc")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from silt.llm import decontam, html, lbl, warc
 
@@ -222,6 +223,94 @@ def test_leaks_of_items_with_many_slots(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(10 * i + n, i) for i, _ in items for n in range(4)]
 
 
+def _verdict(own, canon, met, met_canon):
+    """Whether an alignment is a leak, and its equal pairs, by trying every stretch and run."""
+    value = lambda t: (t[1:].rstrip(".,") if decontam.NAME <= t < decontam.AFTER else t) if t else t
+    own, met = [value(t) for t in own], [value(t) for t in met]
+    same = [x == y for x, y in zip(own, met)]
+    eq = [x or (c == d) for x, c, d in zip(same, canon, met_canon)]
+    n = len(own)
+    best = max((sum(1 if x else -1 for x in eq[i:j]), j - i, j, i) for i in range(n) for j in range(i + 1, n + 1))
+    low, high = best[3], best[2]
+    slot = [decontam.NAME <= c < decontam.AFTER for c in canon]
+    replaced = {(own[k], met[k]) for k in range(low, high) if slot[k] and eq[k]}
+    need = min(decontam.MIN_MATCH, n)
+    run = any(all(same[i : i + need]) for i in range(n - need + 1))
+    ok = len({x for x, _ in replaced}) == len(replaced) or run
+    return ok and sum(eq) >= need and sum(same) >= decontam.MIN_SAME, sum(eq)
+
+
+def _brute_leaks(spark, docs, items):
+    canonical = F.transform("own", decontam._canonical).alias("canon")
+
+    def parsed(rows, name):
+        df = spark.createDataFrame(rows, f"{name} long, text string")
+        df = df.select(name, decontam.tokens(F.col("text"), "$0").alias("own"), decontam.tokens(F.concat(F.lit("a "), F.ltrim("text")), "$0").alias("within"))
+        within = F.transform("within", decontam._canonical).alias("within")
+        return [tuple(r) for r in df.select(name, "own", canonical, within).collect()]
+
+    w, out = decontam.WINDOW, {}
+    items = [x for x in parsed(items, "item_id") if x[1] and len(x[1]) >= w]
+    for doc_id, own, canon, _ in parsed(docs, "doc_id"):
+        for item_id, item_own, item_canon, within in items:
+            n = len(item_own)
+            for at in range(1 - n, len(own or [])):
+                get = lambda of: [of[at + k] if 0 <= at + k < len(of) else None for k in range(n)]
+                met = get(canon)
+                hit = any(met[k : k + w] == item_canon[k : k + w] for k in range(n - w + 1)) or met[:w] == within[1 : w + 1]
+                if hit:
+                    leak, matched = _verdict(item_own, item_canon, get(own), met)
+                    if leak:
+                        out[doc_id, item_id] = max(out.get((doc_id, item_id), 0), matched)
+    return out
+
+
+def _leaky(rng):
+    """Items and documents that hold them after 0 to 7 words, whole or in part, with up to three words or slots changed."""
+    vocabulary = [f"{x}{y}" for x in "bcdfg" for y in ("at", "en", "ill", "ost", "urn")]
+    pick = lambda of: of[rng.integers(0, len(of))]
+
+    def word():
+        kind = rng.integers(0, 8)
+        return pick(["Alice", "Bob", "Carl"]) if kind == 0 else f"{rng.integers(1, 9)}" if kind == 1 else "5 kg" if kind == 2 else pick(vocabulary)
+
+    items = [(i, " ".join(word() for _ in range(rng.integers(8, 40))) + pick(["", ".", "?"])) for i in range(12)]
+    docs = []
+    for i in range(260):
+        words = pick(items)[1].split(" ")
+        if i % 3 == 0:
+            a = rng.integers(0, len(words))
+            words = words[a : a + rng.integers(8, 30)]
+        for _ in range(i % 4):
+            words[rng.integers(0, len(words))] = word()
+        before, after = ([word() for _ in range(n)] for n in (i % 8, rng.integers(0, 12)))
+        docs.append((i, " ".join([*before, *words, *after])))
+    docs.append((900, " ".join(pick(vocabulary) for _ in range(700)) + " " + items[0][1] + " " + " ".join(pick(vocabulary) for _ in range(900))))
+    return [*items, (50, items[3][1])], docs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_against_brute_force(spark, seed):
+    items, docs = _leaky(np.random.default_rng(seed))
+    want = _brute_leaks(spark, docs, items)
+    assert 100 < len(want) and {i for i, _ in want} < {i for i, _ in docs} and (900, 0) in want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontam.BROADCAST_WINDOWS, 0):
+        out = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontam.leaks(d.union(d.limit(40)), b, limit).collect()}
+        assert out == want
+
+
+def test_a_leak_is_judged_where_it_lies(spark):
+    item = "alpha beta gamma 7 delta epsilon zeta eta theta 7 iota kappa lambda mu nu 9 xi omicron pi rho 7 sigma tau upsilon phi"
+    words = item.split(" ")
+    cut_off = " ".join(words[:17]) + " but the document goes on with 4 and 3 things of its own"  # 4 stands beside the item's 7
+    clash = " ".join(["8" if k == 3 else x for k, x in enumerate(words)])  # one number edited, a long passage word for word
+    other = " ".join({3: "1", 9: "2", 20: "3"}.get(k, x) for k, x in enumerate(words))
+    d = spark.createDataFrame([(1, cut_off), (2, clash), (3, other)], "doc_id long, text string")
+    out = decontam.leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2]
+
+
 # Language model.
 
 
