@@ -1,16 +1,19 @@
 """Line dedup (operator 9): deletion-neighbourhood join, in DataFrame functions only.
 
-A line is removed if an earlier line, by (doc_id, place in the text), has the same words or, for lines of MIN_NEAR
-words or more, words at edit distance 1 (one word replaced, put in or left out). Lines are judged on the input, not on
-what is left.
+A line is removed if an earlier line, by (doc_id, place in the text), has the same words or words at edit distance 1 (one
+word replaced, put in or left out) while the longer of both has MIN_NEAR words or more, that is, a similarity of 0.8 or
+more. Lines are judged on the input, not on what is left.
 
 Equal lines are first folded to one row with their earliest place. Of PARTS parts of a line, one edit touches one
-alone; lines that agree with no other line in the rest can't have a neighbour and go no further. The others emit every variant with one word deleted as a hashed key, and the line
-itself as the key of no deletion. A key's hash depends on the order of words, so lines under one key with the deletion
-at the same place differ in that word at most, and a line equal to another's variant lacks one word of it: grouping by
-the key and the place verifies the edit distance. Only the earliest place of each group is kept, a running minimum that
-is aggregated before any shuffle, so a line or variant that a third of the corpus has costs one row a task; no pairs
-are made. Hot keys are joined by broadcast, see joins.py.
+alone; lines that agree with no other line in the rest can't have a neighbour and go no further. The others emit every
+variant with one word deleted as a hashed key, and the line itself as the key of no deletion. A key's 64 bits depend on
+the order of words, so lines under one key with the deletion at the same place differ in that word at most, and a line
+under another's variant lacks one word of it. Only the earliest line of each group is kept, a running minimum that is
+aggregated before any shuffle, so a line or variant that a third of the corpus has costs one row a task; no pairs within
+a group are made. Then each line is compared word by word with the earliest one it met under each key, and goes only
+if their edit distance holds: lines that meet by chance remove nothing. Hot keys are joined by broadcast, see joins.py.
+
+Time and memory grow with a line's length, not its square: running hashes are folded in chunks of CHUNK words.
 
 Edge cases: a null text has no lines and stays null; lines without a word are kept and never match; a null doc_id
 counts as later than all others; rows with equal doc_id and text are one document and get one result; equal doc_ids
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 from silt.llm.common import WORD, cut, without
 from silt.llm.joins import join_unique
 
-#: Shortest line, in words, that a line one edit away can remove.
-MIN_NEAR = 8
+#: Words of the longer of two lines, at least, for one edit to be a similarity of 0.8.
+MIN_NEAR = 5
 #: Parts of a line of which one edit touches one alone.
 PARTS = 2
-_BITS = (1 << 40) - 1
+#: Words over which running hashes are appended one by one.
+CHUNK = 64
+#: Bits of a variant's key that count (tests make keys collide).
+KEY_BITS = -1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -51,26 +57,55 @@ def _keys() -> str:
                 ends.append(f"substring_index(line, ' ', -int({PARTS - 1 - part} * {k}))")
             key = f"xxhash64({part}, {k}, {', '.join(ends)})"
             out.append(key if n == "n" else f"if(n % {PARTS} = 0, {key}, null)")
-    return f"if(n >= {MIN_NEAR}, array({', '.join(out)}), null)"
+    return f"if(n >= {MIN_NEAR - 1}, array({', '.join(out)}), null)"
 
 
-def _variants() -> str:
-    """SQL: (key, place) of the line without each of its words in turn, and of the line itself at place -1.
+def _variants(df: DataFrame) -> DataFrame:
+    """line_key, key and place of each line (line_key, w) without each of its words in turn, and of the line itself at place -1.
 
-    A key is a sum over words of a hash of the word and its place among the words left, in 40 bits each.
+    A line's hash is the exclusive or of a hash of each word and its place. Without word i it is that of b, the hashes
+    with all places one lower, of b[i], and of what a and b differ in before i, a running fold.
     """
-    a = f"xxhash64(w[i], i) & {_BITS}L"
-    b = f"xxhash64(w[i], i - 1) & {_BITS}L"
-    fold = f"""aggregate(sequence(0, n - 1),
-        named_struct('before', 0L, 'after', aggregate(sequence(1, n - 1), 0L, (s, i) -> s + ({b})), 'out', cast(array() as array<bigint>)),
-        (s, i) -> named_struct('before', s.before + ({a}),
-            'after', s.after - if(i + 1 < n, xxhash64(w[least(i + 1, n - 1)], i) & {_BITS}L, 0L),
-            'out', array_append(s.out, s.before + s.after)),
-        s -> s.out)"""
-    whole = f"aggregate(sequence(0, n - 1), 0L, (s, i) -> s + ({a}))"
-    return f"""concat(
-        transform({fold}, (x, i) -> named_struct('key', xxhash64(n - 1, x), 'place', i)),
-        array(named_struct('key', xxhash64(n, {whole}), 'place', -1)))"""
+    chunk = f"""aggregate(sequence(q * {CHUNK}, least(size(v.a), (q + 1) * {CHUNK}) - 1), named_struct('sum', 0L, 'out', cast(array() as array<bigint>)),
+        (s, i) -> named_struct('sum', s.sum ^ v.a[i] ^ v.b[i], 'out', array_append(s.out, s.sum)))"""
+    before = """aggregate(v.chunks, named_struct('sum', 0L, 'out', cast(array() as array<bigint>)),
+        (s, c) -> named_struct('sum', s.sum ^ c.sum, 'out', array_append(s.out, s.sum)), s -> s.out)"""
+    variants = f"""concat(
+        transform(flatten(transform(v.chunks, (c, q) -> transform(c.out, x -> x ^ v.before[q]))),
+            (x, i) -> named_struct('key', xxhash64(size(v.a) - 1, x ^ v.b[i] ^ v.all_b) & {KEY_BITS}L, 'place', i)),
+        array(named_struct('key', xxhash64(size(v.a), v.all_a) & {KEY_BITS}L, 'place', -1)))"""
+    # Each step is bound to v by a transform of its own: as a column, Catalyst could put it in place of its name in a
+    # lambda and compute it for each word.
+    steps = [
+        "named_struct('a', transform(w, (x, i) -> xxhash64(x, i)), 'b', transform(w, (x, i) -> xxhash64(x, i - 1)))",
+        f"""named_struct('a', v.a, 'b', v.b, 'all_a', aggregate(v.a, 0L, (s, x) -> s ^ x), 'all_b', aggregate(v.b, 0L, (s, x) -> s ^ x),
+            'chunks', transform(sequence(0, (size(v.a) - 1) div {CHUNK}), q -> {chunk}))""",
+        f"named_struct('a', v.a, 'b', v.b, 'all_a', v.all_a, 'all_b', v.all_b, 'chunks', v.chunks, 'before', {before})",
+        f"if(size(v.a) >= {MIN_NEAR}, {variants}, slice({variants}, -1, 1))",
+    ]
+    value = f"array({steps[0]})"
+    for step in steps[1:]:
+        value = f"transform({value}, v -> {step})"
+    out = df.select("line_key", F.explode_outer(F.expr(f"flatten({value})")).alias("v"))
+    return out.select("line_key", "v.key", "v.place")
+
+
+#: SQL: whether w.a and w.b, arrays of words, are at edit distance 1 at most, the longer one long enough; `at` is the first
+#: place, from 1, at which they differ, null if there is none among those that both have.
+_DIFFERS = "nullif(array_position(zip_with(w.a, w.b, (x, y) -> x <> y), true), 0)"
+_NEAR = f"""greatest(size(w.a), size(w.b)) >= {MIN_NEAR} and abs(size(w.a) - size(w.b)) <= 1 and
+    transform(array({_DIFFERS}), at -> at is null or (
+        slice(w.a, int(at + if(size(w.a) >= size(w.b), 1, 0)), size(w.a)) = slice(w.b, int(at + if(size(w.b) >= size(w.a), 1, 0)), size(w.b))))[0]"""
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """line_key of those pairs (line_key, early) whose lines' edit distance holds; found: line_key and line."""
+    pairs = cut(pairs.distinct())
+    rows = pairs.groupBy("early").agg(F.count(F.lit(1)).alias("rows"))
+    early = cut(rows.join(found.select(F.col("line_key").alias("early"), F.col("line").alias("other")), "early"))
+    both = join_unique(pairs, early, "early", "rows", pairs.count(), "inner").join(found, "line_key")
+    near = f"transform(array(named_struct('a', split(line, ' '), 'b', split(other, ' '))), w -> {_NEAR})[0]"
+    return both.where(F.expr(near)).select("line_key")
 
 
 def _plain(line) -> Column:
@@ -83,12 +118,14 @@ def _plain(line) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """where (a line's place in the order), the line with single spaces, and a key of it, for each line with words."""
+    """where (a line's place in the order), a key of the line's words, and hashes of its parts, for each line with words."""
     # Outer explodes: for inner ones Catalyst adds a filter on the array's size, which computes the array twice.
     line = F.posexplode_outer(F.split("text", "\n")).alias("at", "line")
     rows = docs.select("silt_order", "silt_doc", line).where(F.col("line").rlike(WORD))
     rows = rows.select(F.struct("silt_order", "silt_doc", "at").alias("where"), _plain("line").alias("line"))
-    return rows.withColumn("line_key", F.xxhash64("line"))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    rows = rows.withColumn("n", (spaces + 1).cast("int"))
+    return rows.select("where", F.xxhash64("line").alias("line_key"), F.expr(_keys()).alias("halves"))
 
 
 def removable(docs: DataFrame) -> DataFrame:
@@ -96,17 +133,16 @@ def removable(docs: DataFrame) -> DataFrame:
 
     docs: silt_order, silt_doc, text.
     """
-    firsts = cut(_lines(docs).groupBy("line_key").agg(F.min("where").alias("where")))
-    n_lines = firsts.count()
+    each = _lines(docs).groupBy("line_key").agg(F.min("where").alias("where"), F.first("halves").alias("halves"))
+    each = cut(each)
+    n_lines = each.count()
+    firsts = each.select("line_key", "where")
     # Lines that agree with another one but for a part.
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    keys = _lines(docs).withColumn("n", (spaces + 1).cast("int"))
-    keys = keys.select("line_key", F.expr(_keys()).alias("halves"))
-    keys = cut(keys.select("line_key", F.explode_outer("halves").alias("half")).where("half is not null"))
+    keys = each.select("line_key", F.explode_outer("halves").alias("half")).where("half is not null")
     ends = (F.min("line_key") < F.max("line_key")).alias("many")
     shared = cut(keys.groupBy("half").agg(ends, F.count(F.lit(1)).alias("lines")).where("many").drop("many"))
     near = join_unique(keys, shared, "half", "lines", n_lines, "inner").select("line_key").distinct()
-    # Their words come from their first places, read off the documents; the shuffle of texts serves the result too.
+    # Their words come from their first places, read off the documents.
     at = (
         cut(near.join(firsts, "line_key"))
         .groupBy(F.col("where.silt_doc").alias("silt_doc"))
@@ -114,20 +150,24 @@ def removable(docs: DataFrame) -> DataFrame:
     )
     place = F.explode_outer("places").alias("place")
     found = docs.join(at, "silt_doc").select(F.split("text", "\n").alias("lines"), place)
-    found = found.select(F.split(_plain(F.expr("lines[place.at]")), " ").alias("w"), F.col("place.line_key").alias("line_key"))
-    found = found.withColumn("n", F.size("w"))
-    variants = found.select("line_key", F.explode_outer(F.expr(_variants())).alias("v")).select("line_key", "v.key", "v.place")
+    found = found.select(F.col("place.line_key").alias("line_key"), _plain(F.expr("lines[place.at]")).alias("line"))
+    found = cut(found.dropDuplicates(["line_key"]))
+    variants = _variants(found.select("line_key", F.split("line", " ").alias("w")))
     common = variants.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
     met = cut(join_unique(variants, common, "key", "lines", n_lines, "inner").drop("lines").join(firsts, "line_key"))
     # Earliest whole line, earliest of all, and how many, under each key; then earliest at each place of a key.
-    whole = F.min(F.when(F.col("place") == -1, F.col("where"))).alias("whole")
-    by_key = cut(met.groupBy("key").agg(whole, F.min("where").alias("any"), F.count(F.lit(1)).alias("lines")))
+    one = F.struct("where", F.col("line_key").alias("line"))
+    whole = F.min(F.when(F.col("place") == -1, one)).alias("whole")
+    by_key = cut(met.groupBy("key").agg(whole, F.min(one).alias("any"), F.count(F.lit(1)).alias("lines")))
     later = join_unique(met, by_key, "key", "lines", n_lines, "inner")
-    by_key_gone = later.where("whole < where or (place = -1 and any < where)").select("line_key")
+    to_whole = later.where("place >= 0 and whole.where < where").select("line_key", F.col("whole.line").alias("early"))
+    from_whole = later.where("place = -1 and any.where < where").select("line_key", F.col("any.line").alias("early"))
     spots = met.where("place >= 0").select("line_key", "where", F.xxhash64("key", "place").alias("spot"))
-    by_spot = spots.groupBy("spot").agg(F.min("where").alias("same"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    by_spot_gone = join_unique(spots, cut(by_spot), "spot", "lines", n_lines, "inner").where("same < where").select("line_key")
-    kept = firsts.join(by_key_gone.union(by_spot_gone).distinct(), "line_key", "left_anti")
+    by_spot = spots.groupBy("spot").agg(F.min(one).alias("same"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    spots = join_unique(spots, cut(by_spot), "spot", "lines", n_lines, "inner")
+    by_spot = spots.where("same.where < where").select("line_key", F.col("same.line").alias("early"))
+    gone = _verified(to_whole.union(from_whole).union(by_spot), found)
+    kept = firsts.join(gone.distinct(), "line_key", "left_anti")
     return kept.groupBy(F.col("where.silt_doc").alias("silt_doc")).agg(F.collect_list("where.at").alias("keep"))
 
 

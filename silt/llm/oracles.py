@@ -79,14 +79,14 @@ WITH line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l
 word AS (SELECT doc_id, i, regexp_extract_all(l, '[^{_SPACES}]+') AS w FROM line WHERE regexp_matches(l, '[^{_SPACES}]')),
 own AS (SELECT (doc_id, i) AS p, w, len(w) AS n, array_to_string(w, ' ') AS s FROM word),
 var AS (SELECT p, unnest(range(1, n + 1)) AS k, unnest(list_transform(range(1, n + 1), lambda k: array_to_string(list_concat(w[1:k - 1], w[k + 1:]), ' '))) AS v, n
-    FROM own WHERE n >= 8),
+    FROM own WHERE n >= 5),
 same AS (SELECT s, min(p) AS least FROM own GROUP BY s),
 spot AS (SELECT v, k, min(p) AS least FROM var GROUP BY v, k HAVING count(*) > 1),
-any_v AS (SELECT v, min(p) AS least FROM var WHERE n >= 9 GROUP BY v),
+any_v AS (SELECT v, min(p) AS least FROM var GROUP BY v),
 gone AS (SELECT p FROM own JOIN same USING (s) WHERE least < p
     UNION SELECT p FROM var JOIN spot USING (v, k) WHERE least < p
-    UNION SELECT p FROM var JOIN same ON v = s WHERE n >= 9 AND least < p
-    UNION SELECT p FROM own JOIN any_v ON s = v WHERE n >= 8 AND least < p),
+    UNION SELECT p FROM var JOIN same ON v = s WHERE least < p
+    UNION SELECT p FROM own JOIN any_v ON s = v WHERE least < p),
 kept AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(l, '[^{_SPACES}]')) AS n_lines, count(gone.p) AS n_removed,
     string_agg(CASE WHEN gone.p IS NULL THEN l END, chr(10) ORDER BY i) AS t FROM line LEFT JOIN gone ON gone.p = (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,

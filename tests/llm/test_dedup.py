@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,8 +45,7 @@ def lines_left(rows):
         for line in r["text"].split("\n"):
             w = line.encode().split()
             if w:
-                small = lines.MIN_NEAR
-                if any(w == x or (len(w) >= small and len(x) >= small and near(w, x)) for x in seen):
+                if any(w == x or (max(len(w), len(x)) >= lines.MIN_NEAR and near(w, x)) for x in seen):
                     seen.append(w)
                     continue
                 seen.append(w)
@@ -65,12 +65,40 @@ def test_line_dedup(which, request):
 
 def test_line_dedup_small_vocabulary(spark):
     rng = random.Random(3)
-    texts = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randint(7, 11))) for _ in range(4)) for _ in range(40)]
+    texts = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randint(2, 8))) for _ in range(4)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = lines_left(ordered(df))
     assert [r["text"] for r in sorted(lines.dedup_lines(df).collect())] == want
 
 
+def test_keys_that_collide_remove_no_line(spark, docs, monkeypatch):
+    want = {r["doc_id"]: set((r["text"] or "").split("\n")) for r in lines.dedup_lines(docs).collect()}
+    monkeypatch.setattr(lines, "KEY_BITS", 15)
+    out = {r["doc_id"]: set((r["text"] or "").split("\n")) for r in lines.dedup_lines(docs).collect()}
+    assert all(want[i] <= out[i] for i in want)
+
+
+def test_lines_of_chunk_lengths(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in (63, 64, 65, 127, 128, 129, 200):
+        w = [rng.choice("abcdefgh") for _ in range(n)]
+        i = rng.randrange(n)
+        texts += [" ".join(w), " ".join(w[:i] + w[i + 1 :]), " ".join(w[:i] + ["x"] + w[i + 1 :]), " ".join([*w[:i], "x", "y", *w[i + 1 :]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in sorted(lines.dedup_lines(df).collect())] == lines_left(ordered(df))
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(5)
+    w = [str(rng.randrange(1000)) for _ in range(300_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:70_000] + w[70_001:])), (3, " ".join(w[:70_000] + w[70_003:])), (4, " ".join([*w[:9], "x", *w[10:]]))]
+    began = time.perf_counter()
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert time.perf_counter() - began < 60
+
+
 def test_line_dedup_keeps_columns_and_null_ids_last(spark):
     df = spark.createDataFrame([(None, "same words here", 1), (5, "same words here", 2)], "doc_id long, text string, N_removed int")
     out = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
