@@ -69,11 +69,16 @@ def _canonical(token: Column) -> Column:
     return F.when((token >= NAME) & (token < AFTER), F.substring(token, 1, 1)).otherwise(token)
 
 
-def _hashes(canon: str) -> Column:
-    """Hashes of the windows of a token array, one for each token that a window starts at."""
+def _hashed(canon: Column) -> Column:
+    return F.transform(canon, lambda x: F.xxhash64(x))
+
+
+def _hashes(tokens: str) -> Column:
+    """Hashes of the windows of an array of token hashes, one for each token that a window starts at."""
+    window = ", ".join(f"{tokens}[i + {k}]" for k in range(WINDOW))
     return F.expr(
-        f"""if(size({canon}) >= {WINDOW},
-            transform(sequence(0, size({canon}) - {WINDOW}), i -> xxhash64(slice({canon}, i + 1, {WINDOW}))), array())"""
+        f"""if(size({tokens}) >= {WINDOW},
+            transform(sequence(0, size({tokens}) - {WINDOW}), i -> xxhash64({window})), cast(array() as array<bigint>))"""
     )
 
 
@@ -93,17 +98,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _windows(items: DataFrame) -> DataFrame:
     """hash, item and j (the window's first token); the first token as it is at a text's start and within a sentence."""
     within = F.transform(tokens(F.concat(F.lit("a "), F.ltrim("text"))), _canonical)
-    within = F.slice(within, 2, WINDOW)
-    first = items.select("item", F.lit(0).alias("j"), F.xxhash64(within).alias("hash"))
-    every = items.withColumn("hashes", _hashes("canon")).select("item", F.posexplode("hashes").alias("j", "hash"))
+    first = items.select("item", _hashed(F.slice(within, 2, WINDOW)).alias("tokens"))
+    first = first.select("item", F.lit(0).alias("j"), F.get(_hashes("tokens"), F.lit(0)).alias("hash"))
+    every = items.select("item", _hashed(F.col("canon")).alias("tokens"))
+    every = every.select("item", F.posexplode(_hashes("tokens")).alias("j", "hash"))
     return every.unionByName(first).distinct()
 
 
 def _hits(docs: DataFrame, windows: DataFrame, n_windows: int, broadcast_windows: int) -> DataFrame:
     """silt_doc, item and at (the place of the item's first token) of each alignment that shares a window."""
     # As the item's tokens are: a placeholder with a comma or full stop after it is the placeholder.
-    canon = F.transform(tokens(F.col("text")), _canonical).alias("canon")
-    hashes = docs.select(F.xxhash64("doc_id", "text").alias("silt_doc"), canon).select("silt_doc", _hashes("canon").alias("hashes"))
+    canon = F.transform(tokens(F.col("text")), lambda x: F.xxhash64(_canonical(x))).alias("tokens")
+    hashes = docs.select(F.xxhash64("doc_id", "text").alias("silt_doc"), canon).select("silt_doc", _hashes("tokens").alias("hashes"))
     # An outer explode: for an inner one Catalyst adds a filter on the array's size, which computes the array twice.
     placed = hashes.select("silt_doc", F.posexplode_outer("hashes").alias("i", "hash"))
     if n_windows <= broadcast_windows:
@@ -171,6 +177,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADC
         F.expr("size(filter(pairs, x -> x.same))").alias("same"),
         F.expr(f"array_distinct(transform({slots}, x -> named_struct('own', x.own, 'met', x.met)))").alias("replaced"),
     )
+    # Written: a filter on these would be pushed below the projections and repeat what they compute.
+    found = cut(found)
     consistent = F.expr("size(replaced) = size(array_distinct(transform(replaced, x -> x.own)))")
     needed = F.least(F.lit(MIN_MATCH), F.col("n_tokens"))
     leak = (F.col("n_matched") >= needed) & (F.col("same") >= MIN_SAME) & (consistent | (F.col("run") >= needed))
