@@ -1,7 +1,8 @@
 """Questions to the whole corpus, asked and answered in packed arrays.
 
 Documents are dealt into blocks of bounded size by a hash. A block asks about its distinct hashes: for each bucket (a
-range of hash values) it sends one row with a packed, sorted array. A bucket sees the arrays of all blocks and answers
+range of hash values) it sends one row with a packed, sorted array, so rows between blocks and buckets number as many
+as both multiplied; see deal() for how these grow. A bucket sees the arrays of all blocks and answers
 each with as many bits, in the order asked. Blocks then get their documents and the answers together. A hash that a
 third of the corpus has costs one entry a block, so no bucket is hot; a bucket holds about 1/buckets of the entries.
 
@@ -15,29 +16,52 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silt.llm.common import input_bytes, pieces, shuffle_partitions
+from silt.llm.common import text_bytes
 from silt.llm.textops import U
 
 LAST = (1 << 63) - 1
-#: Input bytes a block, about; a worker holds a few tens of bytes for each word of a block.
-BLOCK_BYTES = 5 << 19
-#: Input bytes a bucket, about.
-BUCKET_BYTES = 8 << 20
-#: Buckets of a small input: a block sends a row to each, so their number isn't raised with the partitions.
-LEAST_BUCKETS = 64
+#: Text bytes of a block: their square is GROWTH times the corpus, between the least and a share of an executor's memory.
+LEAST_BLOCK, GROWTH = 1 << 20, 22_500
+#: A block's share of the memory that an executor has for each core; a worker holds a hundred bytes or so a word.
+MEMORY_SHARE, MOST_BLOCK = 56, 8 << 20
+#: Blocks that a bucket is as large as.
+BUCKET_BLOCKS = 2
+#: Blocks of a small input, at least.
+LEAST_BLOCKS = 4
 
 ASK = "bucket int, block int, level int, data binary"
 
 
+def block_bytes(corpus: int, most: int = MOST_BLOCK) -> int:
+    return int(min(most, max(LEAST_BLOCK, (corpus * GROWTH) ** 0.5)))
+
+
+def most_block(spark: SparkSession) -> int:
+    """The largest block that a worker should hold."""
+    sc = spark.sparkContext._jsc.sc()
+    cores = int(spark.conf.get("spark.executor.cores", "4"))
+    return max(MOST_BLOCK, (sc.executorMemory() << 20) // cores // MEMORY_SHARE)
+
+
 def deal(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with their block, and the number of buckets to ask."""
-    n = pieces(docs, BLOCK_BYTES)
+    """docs (doc_id, text) with their block, and the number of buckets to ask.
+
+    Both numbers come from the text's bytes, not from files, partitions or layout. While blocks grow with the square root
+    of the corpus, so do the numbers of blocks and of buckets, and the rows between them grow as the corpus does.
+    """
+    corpus = text_bytes(docs)
+    size = block_bytes(corpus, most_block(docs.sparkSession))
+    n, buckets = (max(LEAST_BLOCKS, -(-corpus // x)) for x in (size, BUCKET_BLOCKS * size))
+    return docs.select(block_of(n).alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), buckets
+
+
+def block_of(n: int) -> Column:
+    """The block of a document among n, by a hash of its doc_id, or of its text where that is null."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")))
-    base = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return base, max(min(LEAST_BUCKETS, shuffle_partitions(docs.sparkSession)), -(-input_bytes(docs) // BUCKET_BYTES))
+    return F.pmod(key, F.lit(n)).cast("int")
 
 
 def one(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:

@@ -44,9 +44,9 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x or 0 for x in size)
 
 
-def pieces(df: DataFrame, piece_bytes: int) -> int:
-    """How many parts to cut df into: one per shuffle partition, more if a part would pass piece_bytes."""
-    return max(shuffle_partitions(df.sparkSession), -(-input_bytes(df) // piece_bytes))
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts, counted."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def shared_dir(spark: SparkSession) -> str:

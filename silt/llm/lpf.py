@@ -40,6 +40,8 @@ LENGTH = 100
 GRAM = 36
 #: Suffixes that one suffix array holds, about; an anchor's strings are never parted.
 SUFFIXES = 100_000
+#: Strings of a long text that are looked at in one go; below 2 ** 28, the width of a place.
+SEGMENT = 1 << 22
 #: Kinds of runs up to which an anchor isn't common whatever its share.
 COMMON = 200
 
@@ -67,7 +69,13 @@ class Runs:
         maybe = np.zeros(1 << 16, bool)
         maybe[(common & _LOW).astype(np.int64)] = True
         for a, b in batches(texts, 1 << 18):
-            parts.append(self._of(texts[a:b], a, length, gram, common, maybe))
+            if b - a > 1 or len(texts[a]) <= SEGMENT:
+                parts.append(self._of(texts[a:b], a, length, gram, common, maybe))
+                continue
+            # A long text piece by piece: a run over a cut becomes two, whose strings are judged alike.
+            for at in range(0, len(texts[a]) - length + 1, SEGMENT):
+                part = self._of([texts[a][at : at + SEGMENT + length - 1]], a, length, gram, common, maybe)
+                parts.append([part[0], part[1] + at, part[2] + at, part[3] + at, *part[4:]])
         cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
         self.doc, self.first, self.last, self.anchor, self.plain, self.whole = cols
         # Anchors have small hashes, being the least of their strings: mixed again, they spread over all buckets.

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from silt.llm import jaccard, lines, lpf, substring
+from silt.llm import blocks, jaccard, lines, lpf, substring
 
 
 def ordered(df):
@@ -306,3 +306,27 @@ def test_empty_tables(no_docs):
     assert substring.dedup_substrings(no_docs).count() == 0
     assert lpf.dedup_bytes(no_docs).count() == 0
     assert jaccard.join(no_docs).count() == 0
+
+
+def test_blocks_grow_with_the_root_of_the_corpus():
+    for corpus in (10**8, 5 * 10**8):
+        rows = [-(-n // (s := blocks.block_bytes(n))) * -(-n // (blocks.BUCKET_BLOCKS * s)) for n in (corpus, 5 * corpus)]
+        assert 4.5 < rows[1] / rows[0] < 5.5
+    assert blocks.block_bytes(10**14) == blocks.MOST_BLOCK and blocks.block_bytes(0) == blocks.LEAST_BLOCK
+
+
+def test_long_texts_are_looked_at_in_segments(spark, docs, monkeypatch):
+    want = sorted(tuple(r) for r in lpf.dedup_bytes(docs).collect())
+    monkeypatch.setattr(lpf, "SEGMENT", 700)
+    assert sorted(tuple(r) for r in lpf.dedup_bytes(docs).collect()) == want
+
+
+def test_windows_double_until_no_candidate_survives(spark):
+    rng = random.Random(8)
+    shared = [str(rng.randrange(10**6)) for _ in range(500)]
+    own = lambda: [str(rng.randrange(10**6)) for _ in range(40)]
+    rows = [(1, " ".join([*own(), *shared, *own()]))]
+    rows += [(i, " ".join([*own(), *shared[:n], *own()])) for i, n in ((2, 13), (3, 26), (4, 60), (5, 415), (6, 12), (7, 500))]
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), longest=1 << 20).collect()
+    assert {r["doc_id"]: r["longest"] for r in out} == {1: 0, 2: 13, 3: 26, 4: 52, 5: 208, 6: 0, 7: 416}
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 13, 3: 26, 4: 60, 5: 415, 6: 0, 7: 500}

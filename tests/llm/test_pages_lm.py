@@ -329,23 +329,84 @@ def test_counts_and_base_scores(odd_docs):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
-    flat = lbl.start_model(rng.integers(0, 50, lbl.CLASSES).astype(float))
+    classes = 40 + lbl.RARE + 1
+    flat = lbl.start_model(rng.integers(0, 50, classes).astype(float))
     flat += rng.normal(0, 0.2, flat.size).astype(np.float32)
-    token = np.arange(lbl.CLASSES)
-    for one, two in ((lbl.START, lbl.START), (3, 400), (lbl.END, 7)):
+    token = np.arange(classes)
+    for one, two in ((classes, classes), (3, 100), (classes - 1, 7)):
         p = lbl.log_probabilities(flat, token, np.full(token.size, one), np.full(token.size, two))
         assert abs(np.exp(p).sum() - 1) < 1e-4
 
 
-def test_model_learns_and_beats_the_unigram(spark):
+def test_training_texts_are_all_counted(spark):
+    rows = [(i, "one word" if i % 3 else None) for i in range(2000)]
+    n = sum((len((t or "").split()) + 1) for i, t in rows if not lbl.held_out(i))
+    assert {r["train_tokens"] for r in lbl.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()} == {n}
+
+
+def _alternating(n):
     rng = np.random.default_rng(1)
-    rows = []
-    for i in range(900):
-        side = i % 2
-        rows.append((i, " ".join(f"{'ab'[side]}{rng.integers(0, 30)}{'xy'[side]}" for _ in range(120))))
-    out = lbl.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    return [(i, " ".join(f"{'ab'[i % 2]}{rng.integers(0, 30)}{'xy'[i % 2]}" for _ in range(120))) for i in range(n)]
+
+
+def test_model_learns_and_beats_the_unigram(spark):
+    out = lbl.score(spark.createDataFrame(_alternating(900), "doc_id long, text string")).where("held_out").collect()
     assert sum(r["score"] for r in out) > 0.9 * sum(r["base_score"] for r in out)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(lbl, "PIECE_BYTES", 1 << 14)  # many pieces and rounds
+    rows = odd_docs.union(spark.createDataFrame([(i, t, None, None, None) for i, t in _alternating(200)], odd_docs.schema))
+    found = []
+    for layout in (rows.coalesce(1), rows.repartition(7), rows.repartition(5, "text").sortWithinPartitions(F.col("doc_id").desc())):
+        out = lbl.score(layout).collect()
+        found.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in out))
+    assert len(found[0]) == rows.count()
+    for other in found[1:]:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(found[0], other, strict=True))
+
+
+def test_more_text_helps(spark, monkeypatch):
+    """The same held-out texts score better after a model of eight times the text."""
+    monkeypatch.setattr(lbl, "PIECE_BYTES", 1 << 16)
+    rows, gain = _alternating(1600), []
+    for n in (200, 1600):
+        out = lbl.score(spark.createDataFrame(rows[:n], "doc_id long, text string"), frequent=80).where("held_out and doc_id < 200")
+        gain.append(out.selectExpr("avg(score / n_tokens)").first()[0])
+    assert gain[1] > gain[0]
+
+
+def test_scores_against_brute_force(spark):
+    """A tiny corpus: the probability of each token by plain sums over all classes and words, from the trained model."""
+    rows = _alternating(12) + [(50, "a1x never seen"), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    frequent = 8
+    texts = {i: ((t or "").lower().split(), lbl.held_out(i)) for i, t in rows}
+    c = Counter(w for words, held in texts.values() if not held for w in words)
+    hash_of = lambda w: (int(lbl._words([w.encode()])[0][0]), int(lbl._words([w.encode()])[1][0]))
+    top = sorted(c, key=lambda w: (-c[w], hash_of(w)[0]))[:frequent]
+    klass = lambda w: top.index(w) if w in top else frequent + hash_of(w)[1]
+    n_train = sum(not held for _, held in texts.values())
+    about = np.zeros((2, lbl.RARE), np.int64)
+    for w, n in c.items():
+        about[:, hash_of(w)[1]] += (n, 1)
+    packed = np.array([(hash_of(w)[0], c[w], hash_of(w)[1]) for w in top], lbl._COUNT)
+    vocabulary = lbl.Vocabulary(about.tobytes() + packed.tobytes(), n_train, frequent)
+    r, t, b, c1, c2 = lbl._views(lbl._model(df, vocabulary, 0))
+    end = frequent + lbl.RARE
+    for row in lbl.score(df, frequent=frequent).collect():
+        words, _ = texts[row["doc_id"]]
+        before, total = [end + 1, end + 1], 0.0
+        for w in [*words, None]:
+            k = end if w is None else klass(w)
+            s = t @ (c1 * r[before[-1]] + c2 * r[before[-2]]) + b
+            total += s[k] - math.log(np.exp(s.astype(float)).sum())
+            if w is not None and k >= frequent:
+                same = [x for x in c if klass(x) == k]
+                total += math.log((c[w] + 1) / (sum(c[x] for x in same) + len(same) + 1))
+            before.append(k)
+        assert abs(row["score"] - total / math.log(10)) < 1e-3
+
+
 def test_language_model_on_an_empty_table(no_docs):
     assert lbl.score(no_docs).count() == 0
