@@ -148,13 +148,14 @@ def repeated_in_blocks(data: list[bytes]) -> list[np.ndarray]:
 
 
 def earlier_elsewhere(data: list[bytes]) -> list[np.ndarray]:
-    """For arrays of (hash, order) as int64 halves: whether another array has the hash with a smaller order."""
+    """For arrays of (hash, order) as int64 halves, two bits: another array has the hash with a smaller order; at all."""
     parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in data]
     whole = np.concatenate(parts, axis=1)
     order = np.lexsort((whole[1], whole[0]))
     h, at = whole[0][order], whole[1][order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.repeat(at[start], np.diff(np.append(start, h.size)))
-    flag = np.empty(h.size, bool)
-    flag[order] = least < at
-    return np.split(flag, np.cumsum([p.shape[1] for p in parts])[:-1])
+    many = np.diff(np.append(start, h.size))
+    flag = np.empty((2, h.size), bool)
+    flag[0, order] = np.repeat(at[start], many) < at
+    flag[1, order] = np.repeat(many, many) > 1
+    return np.split(flag, np.cumsum([p.shape[1] for p in parts])[:-1], axis=1)

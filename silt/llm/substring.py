@@ -68,17 +68,17 @@ def _levels(block: bl.Block, replies: pa.Table | None, of: list[int], target: in
         level = _Level(start, roll[start], doc)
         levels.append(level)
         if n < known:
-            met = bl.answers(replies, n, level.distinct, buckets)[level.place]
-            order = block.order
-            if width < target:  # repeated in another block, or in two documents of this one
-                last = np.zeros(level.distinct.size, np.int64)
-                np.maximum.at(last, level.place, level.doc)
-                repeated = met | (last != level.first_doc)[level.place]
+            said = bl.answers(replies, n, level.distinct, buckets, 1 if width < target else 2)
+            elsewhere = said if width < target else said[1]
+            # Repeated in another block, or in two documents of this one: the first holder goes on too.
+            last = np.zeros(level.distinct.size, np.int64)
+            np.maximum.at(last, level.place, level.doc)
+            repeated = (elsewhere | (last != level.first_doc))[level.place]
+            if width < target:
                 verdicts.append(None)
             else:
-                met |= order[level.doc] > order[level.first_doc][level.place]
-                repeated = met
-                verdicts.append(met)
+                order = block.order
+                verdicts.append(said[0][level.place] | (order[level.doc] > order[level.first_doc][level.place]))
             good, before = np.zeros(h.size, bool), width
             good[start[repeated]] = True
     return count, first, levels, verdicts
