@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import weakref
@@ -50,11 +51,13 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one is set only where that is unset and the master is local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silt-checkpoint-")
-        sc.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="silt-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

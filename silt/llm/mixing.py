@@ -6,17 +6,19 @@ words the other loses until one of them has a whole number of copies; that one i
 The words expected of the pair stay the same, and so do each document's expected copies, so a source's taken words end
 within one document's size of its target. Documents are dealt by a hash into groups of about FAN; each group settles
 all but one, and what is left goes up a reduction tree of the same fan until one document a source remains, which a
-coin settles. A source of any size, hot or not, is thus split into small groups, and no group meets in one task.
+coin settles. A source of any size, hot or not, is thus split into small groups, and no group meets in one task. Rows
+with equal doc_id, source and text are counted before any of that: of m such rows with the fraction p, the whole part of
+m * p gain a copy, and the rest of it is rounded as one document's.
 
 Edge cases: a null or word-less text has size 0 and takes 0 words; a null source is a source of its own, last in
-order; a source whose sizes sum to 0 has target 0; rows with equal doc_id and text are separate rows, treated alike;
-null doc_ids are allowed; extra columns are ignored; an empty table gives an empty table. Random draws are hashes of
-doc_id, size, the level and the seed, so reruns agree on any partitioning.
+order; a source whose sizes sum to 0 has target 0; equal rows are separate rows of the result; null doc_ids are
+allowed; extra columns are ignored, whatever their names; an empty table gives an empty table. Random draws are hashes
+of doc_id, source, text, size, the level and the seed, so reruns agree on any partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.llm.common import WORD, cut
@@ -32,16 +34,17 @@ BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """silt_source, n_docs, source_size and target for each source of sizes (silt_source, size); the null source is null.
+    """silt_source, n_docs, source_size and target for each source of sizes (silt_source, size, rows that are alike).
 
-    target = least(3 * source_size, level * weight), the level set so that targets sum to all sizes. Sources are
-    ordered by how soon they fill; the level that counts is the highest reached when all before are full.
+    The null source is null; n_docs counts the rows of sizes. target = least(3 * source_size, level * weight), the level
+    set so that targets sum to all sizes. Sources are ordered by how soon they fill; the level that counts is the
+    highest reached when all before are full.
     """
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
     rank = F.row_number().over(Window.orderBy(F.col("silt_source").asc_nulls_last())) - 1
     by = (
         sizes.groupBy("silt_source")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("size") * F.col("alike")).alias("source_size"))
         .withColumn("weight", F.element_at(weights, (rank % len(WEIGHTS) + 1).cast("int")))
         .withColumn("most", F.col("source_size").cast("double") * MOST_COPIES)
     )
@@ -92,13 +95,19 @@ def _chance(level: int, seed: int) -> str:
 
 def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies * size) for each row of docs (doc_id, source, text)."""
+    return _rows(_planned(docs, seed))
+
+
+def _id() -> Column:
+    """A hash of a row's doc_id, source and text."""
+    return F.xxhash64("doc_id", F.col("source").isNull(), F.col("source").cast("string"), "text")
+
+
+def _planned(docs: DataFrame, seed: int) -> DataFrame:
+    """row, alike and up for each distinct row of docs: of the `alike` rows, `up` get a copy more than the whole part."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    sized = docs.select(
-        "doc_id",
-        F.col("source").cast("string").alias("silt_source"),
-        size.alias("size"),
-        F.xxhash64("doc_id", "text").alias("silt_id"),
-    )
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("silt_source"), size.alias("size"), _id().alias("silt_id"))
+    sized = cut(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("alike")))
     targets = cut(source_targets(sized))
     n_sources, n_docs, most = targets.agg(F.count(F.lit(1)), F.sum("n_docs"), F.max("n_docs")).first()
     # Null sources meet under a key that no source has: sources keep a leading mark, the null one hasn't it.
@@ -111,12 +120,15 @@ def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
         joined = join_unique(sized, targets, "silt_by", "n_docs", n_docs, "inner")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", F.least(rate, F.lit(float(MOST_COPIES)))).withColumn("whole", F.floor("rate"))
-    row = F.struct("doc_id", F.col("silt_source").alias("source"), "size", "source_size", "target", "whole", "silt_id")
+    each = F.when(F.col("size") > 0, F.col("alike") * (F.col("rate") - F.col("whole"))).otherwise(F.lit(0.0))
+    joined = joined.withColumn("ups", each).withColumn("sure", F.floor("ups"))
+    row = F.struct(
+        "doc_id", F.col("silt_source").alias("source"), "size", "source_size", "target", "whole", "silt_id", "alike", "sure")
     cells = joined.select(
         "silt_by",
         F.when(F.col("n_docs") > FAN, F.ceil(F.col("n_docs") / FAN)).otherwise(F.lit(1)).cast("bigint").alias("groups"),
         row.alias("row"),
-        (F.col("rate") - F.col("whole")).alias("p"),
+        (F.col("ups") - F.col("sure")).alias("p"),
     )
     cells = cells.withColumn("at", F.expr("pmod(row.silt_id, groups)"))
     # Rows with nothing to round pass through the same groups as settled.
@@ -155,20 +167,35 @@ def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    n = F.col("row.whole") + F.col("up")
+    return out.select("row.*", (F.col("row.sure") + F.col("up")).alias("up"))
+
+
+def _rows(planned: DataFrame) -> DataFrame:
+    """A row for each of the rows that are alike."""
+    out = planned.withColumn("k", F.explode(F.expr("sequence(1, alike)")))
+    n = F.col("whole") + F.when(F.col("k") <= F.col("up"), 1).otherwise(0)
     return out.select(
-        "row.doc_id", "row.source", "row.size", "row.source_size", "row.target", n.cast("bigint").alias("copies"),
-        (n * F.col("row.size")).cast("bigint").alias("taken"), F.col("row.silt_id").alias("silt_id"),
+        "doc_id", "source", "size", "source_size", "target", n.cast("bigint").alias("copies"),
+        (n * F.col("size")).cast("bigint").alias("taken"),
     )
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """docs with each row as often as the mix takes it (not at all for 0 copies) and its number among those in `copy`."""
-    plan = copies(docs, seed)
-    # Rows with equal doc_id and text differ at most in copies; the k-th such row takes the k-th number of copies.
-    same = Window.partitionBy("silt_id").orderBy(F.col("copies").desc())
-    plan = plan.where("copies > 0").select("silt_id", "copies", F.row_number().over(same).alias("silt_k"))
-    rows = docs.drop("copy").withColumn("silt_id", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("silt_k", F.row_number().over(Window.partitionBy("silt_id").orderBy(F.lit(0))))
-    out = rows.join(plan, ["silt_id", "silt_k"]).withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))")))
-    return out.drop("silt_id", "silt_k", "copies")
+    """docs with each row as often as the mix takes it (not at all for 0 copies) and its number among those in `copy`.
+
+    A column `copy` of docs gives way; columns of any other name stay as they are. Rows that are alike in doc_id, source
+    and text get their copies in the order of a hash of all their columns.
+    """
+    plan = _planned(docs.select("doc_id", "source", "text"), seed)
+    plan = plan.select("silt_id", "whole", "up", "alike").where("whole > 0 or up > 0")
+    kept = [c for c in docs.columns if c.lower() != "copy"]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(_id().alias("silt_id"), row.alias("silt_row"))
+    once = rows.join(plan.where("alike = 1"), "silt_id").withColumn("silt_k", F.lit(1))
+    # Only rows that repeat are ranked.
+    same = Window.partitionBy("silt_id").orderBy(F.xxhash64(F.to_json("silt_row")))
+    often = rows.join(plan.where("alike > 1"), "silt_id").withColumn("silt_k", F.row_number().over(same))
+    out = once.unionByName(often)
+    n = F.col("whole") + F.when(F.col("silt_k") <= F.col("up"), 1).otherwise(0)
+    out = out.withColumn("silt_copy", F.explode(F.sequence(F.lit(0), n.cast("int")))).where("silt_copy > 0")
+    return out.select(*[F.col(f"silt_row.`{c}`") for c in kept], F.col("silt_copy").alias("copy"))

@@ -6,30 +6,39 @@ docstrings say. A stage's result is written before it is let go, see common.step
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import decontam, jaccard, lines, mixing, quality
 from silt.llm.common import step, table
 
 
+def _row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns of docs but some as one struct, which no column that an operator adds can clash with."""
+    return F.struct(F.lit(0).alias("silt"), *[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("silt_row")
+
+
+def _own(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs from the struct, or those given for them."""
+    return [changed[c].alias(c) if c in changed else F.col(f"silt_row.`{c}`") for c in docs.columns]
+
+
 @step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; their texts stay as they are."""
-    columns = docs.columns
-    judged = quality.line_first_cleaning(docs.withColumn("silt_text", F.col("text")), "silt_text")
-    return judged.where("kept").select(*columns)
+    judged = quality.line_first_cleaning(docs.select(_row(docs), F.col("text").alias("silt_text")), "silt_text")
+    return judged.where("kept").select(*_own(docs))
 
 
 @step
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated lines; one that lost lines and has no words left goes."""
-    out = lines.dedup_lines(docs)
+    """Documents less their repeated lines; one that lost lines and has no words left goes. n_chars is counted anew."""
+    out = lines.dedup_lines(docs.select("doc_id", "text", _row(docs, ("doc_id", "text"))))
     out = out.where("n_removed = 0 or n_removed < n_lines")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*docs.columns)
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("silt_row.n_chars"))
+    return out.select(*_own(docs, **own))
 
 
 @step

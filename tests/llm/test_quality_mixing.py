@@ -120,3 +120,28 @@ def test_mix_repeats_rows(odd_docs):
     plan = mixing.copies(odd_docs).collect()
     out = mixing.mix(odd_docs).collect()
     assert len(out) == sum(r["copies"] for r in plan)
+
+
+def test_equal_rows_are_rounded_together(spark):
+    rows = [(1, "a b c", "hot")] * 700 + [(i, "w " * (i % 7), "hot") for i in range(2, 300)] + [(900, "x " * 2000, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.copies(df).collect()
+    assert len(out) == len(rows)
+    taken = sum(r["taken"] for r in out if r["source"] == "hot")
+    target = next(r["target"] for r in out if r["source"] == "hot")
+    assert abs(taken - target) <= 7 and len({r["copies"] for r in out if r["doc_id"] == 1}) <= 2
+    assert mixing.mix(df).count() == sum(r["copies"] for r in out)
+
+
+def test_mix_keeps_rows_with_their_own_source(spark):
+    rows = [(1, "a b c", s, k, -1) for k, s in enumerate(["x", "y", None] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, target int")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy"]
+    by = Counter(r["source"] for r in out.collect())
+    plan = Counter()
+    for r in mixing.copies(df).collect():
+        plan[r["source"]] += r["copies"]
+    assert by == plan
+    assert all(r["source"] == ["x", "y", None][r["copies"] % 3] and r["target"] == -1 for r in out.collect())
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
