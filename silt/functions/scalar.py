@@ -7,10 +7,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import LongType
 
 # FNV-1a, 64 bits.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
@@ -43,75 +46,85 @@ def to_float(x: Column) -> Column:
 # Regular expressions: null for no match, for a group that took no part, and for a group that isn't there.
 
 
-@lru_cache(256)
-def _compiled(pattern: str) -> re.Pattern:
-    try:
-        return re.compile(_python(pattern))
-    except re.error as e:
-        raise ValueError(f"bad regular expression {pattern!r}: {e}") from e
-
-
-def _python(pattern: str) -> str:
-    """Java's spelling of named groups and possessive marks, as Python has them."""
-    return re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern)
-
-
-def _group_text(pattern: str, group: int) -> str:
-    """What stands between the parentheses of a capturing group."""
-    at, seen, depth, start = 0, 0, [], None
+def _places(pattern: str) -> list[tuple[int, int]]:
+    """Start and number of each parenthesis of a pattern that opens a capturing group; Java's and Python's spelling."""
+    at, out = 0, []
     while at < len(pattern):
         c = pattern[at]
+        if pattern.startswith("\\Q", at):
+            end = pattern.find("\\E", at + 2)
+            at = len(pattern) if end < 0 else end + 2
+            continue
         if c == "\\":
             at += 2
             continue
         if c == "[":
-            at += 1 + (pattern[at + 1 : at + 2] == "^")
-            at += pattern[at : at + 1] == "]"
-            while at < len(pattern) and pattern[at] != "]":
-                at += 2 if pattern[at] == "\\" else 1
-        elif c == "(":
-            captures = pattern[at + 1 : at + 2] != "?" or re.match(r"\(\?P?<[A-Za-z]", pattern[at:])
-            seen += bool(captures)
-            depth.append(seen if captures else 0)
-            if captures and seen == group:
-                start = at + 1
-        elif c == ")" and depth and depth.pop() == group and start is not None:
-            return pattern[start:at]
+            at = _class_end(pattern, at)
+            continue
+        if c == "(" and (pattern[at + 1 : at + 2] != "?" or re.match(r"\(\?P?<[A-Za-z_]", pattern[at:])):
+            out.append((at, len(out) + 1))
         at += 1
-    return ""
+    return out
+
+
+def _class_end(pattern: str, at: int) -> int:
+    """The place after a character class that starts at `at`; classes may be nested, as Java's are."""
+    depth, i = 0, at
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[":
+            depth += 1
+            i += pattern[i + 1 : i + 2] == "^"
+            i += pattern[i + 1 : i + 2] == "]"
+        elif pattern[i] == "]":
+            depth -= 1
+            if not depth:
+                return i + 1
+        i += 1
+    return len(pattern)
+
+
+@lru_cache(256)
+def groups_of(pattern: str) -> int:
+    """How many capturing groups a pattern has; an error if Java's engine, which runs it, refuses it.
+
+    Without a running JVM (a configuration is checked) the pattern is taken as it is.
+    """
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jvm is None:
+        return len(_places(pattern))
+    try:
+        return sc._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"bad regular expression {pattern!r}: {e}") from e
 
 
 def may_be_empty(pattern: str) -> bool:
     """Whether a pattern can match the empty text (yes if it can't be told)."""
     try:
-        return re.compile(_python(pattern)).fullmatch("") is not None
+        return re.compile(re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern)).fullmatch("") is not None
     except re.error:
         return True
 
 
-@pandas_udf(StringType())
-def _regexp_extract_udf(s: pd.Series, pattern: pd.Series, group: pd.Series) -> pd.Series:
-    def one(text, p, g):
-        if text is None or p is None:
-            return None
-        m = _compiled(p).search(text)
-        return m.group(int(g)) if m and g <= m.re.groups else None
-
-    return pd.Series([one(*x) for x in zip(s, pattern, group)], dtype=object)
+def java(pattern: str) -> str:
+    """A pattern with its named groups, which may have names that Java refuses, as plain ones."""
+    return pattern if "\\k<" in pattern else re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern)
 
 
 def regexp_extract_sql(s: str, pattern: str, group: int) -> str:
-    """JVM-side unless an optional group may also match the empty text, which only Python can tell apart."""
-    groups = _compiled(pattern).groups
-    if group < 0 or group > groups:
+    """Spark gives '' for a group that took no part; a back reference to the group after the first match tells that from
+    an empty one, for it fails if the group took no part."""
+    pattern = java(pattern)
+    if group < 0 or group > groups_of(pattern):
         return "CAST(NULL AS STRING)"
     p = quoted(pattern)
     found = f"regexp_extract({s}, {p}, {group})"
-    if group and not may_be_empty(_group_text(pattern, group)):
-        return f"nullif({found}, '')"
-    if group and (may_be_empty(_group_text(pattern, group)) and re.search(r"\)[?*|]|\)\{0|\|", pattern)):
-        return f"lg_regexp_extract({s}, {p}, {group})"
-    return f"CASE WHEN {s} RLIKE {p} THEN {found} END"
+    if not group:
+        return f"CASE WHEN {s} RLIKE {p} THEN {found} END"
+    took_part = quoted(rf"\A(?>(?s:.*?)(?:{pattern}))\{group}")
+    return f"CASE WHEN {found} <> '' THEN {found} WHEN {s} RLIKE {took_part} THEN '' END"
 
 
 def regexp_extract(column: str, pattern: str, group: int = 1) -> Column:
@@ -184,7 +197,6 @@ def hash_sql(x: str) -> str:
 def register(spark: SparkSession) -> None:
     """The Python-backed helpers that generated SQL calls."""
     spark.udf.register("lg_fnv1a", fnv1a_64_signed)
-    spark.udf.register("lg_regexp_extract", _regexp_extract_udf)
 
 
 # Times and severities.

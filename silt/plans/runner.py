@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Mapping
 
@@ -14,6 +16,7 @@ from silt.plans.dialect import translate
 from silt.schema import normalize_conflicts
 
 LOGS = "logs"
+QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 
 class PlanError(ValueError):
@@ -23,8 +26,9 @@ class PlanError(ValueError):
 def run_sql(sql: str, logs: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The rows of sql, where `logs` names the log rows and tables the lookup tables beside it.
 
-    Views are visible to this query's session alone, so queries may run side by side. Conflict columns are flattened
-    first; output names must differ.
+    The names are this query's own: they are common table expressions before it, over views that no other query names and
+    that go once it is analysed, so queries may run side by side. Conflict columns are flattened first; output names
+    must differ.
     """
     tables = dict(tables or {})
     names = [n.lower() for n in tables]
@@ -33,17 +37,33 @@ def run_sql(sql: str, logs: DataFrame, tables: Mapping[str, DataFrame] | None =
     if twice := [n for n, k in Counter(names).items() if k > 1]:
         raise PlanError(f"two tables are called {twice[0]}")
     spark = logs.sparkSession
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    if spark.conf.get(QUOTED, "false") != "true":
+        spark.conf.set(QUOTED, "true")
     scalar.register(spark)
-    normalize_conflicts(logs).createOrReplaceTempView(LOGS)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(translate(sql))
+    views = {n: f"silt_{uuid.uuid4().hex}" for n in [LOGS, *tables]}
+    for name, df in {LOGS: normalize_conflicts(logs), **tables}.items():
+        df.createOrReplaceTempView(views[name])
+    try:
+        out = spark.sql(with_tables(translate(sql), views))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
     if twice := [n for n, k in Counter(c.lower() for c in out.columns).items() if k > 1]:
         raise PlanError(f"two output columns are called {twice[0]}")
     return out.toDF(*out.columns)
 
 
+def with_tables(sql: str, views: Mapping[str, str]) -> str:
+    """A SELECT, which may have common table expressions of its own, with more of them for names that stand for views."""
+    before = ", ".join(f'"{name}" AS (SELECT * FROM {view})' for name, view in views.items())
+    own = re.match(r"\s*WITH\s+(?!RECURSIVE\b)", sql, re.I)
+    if re.match(r"\s*WITH\b", sql, re.I):
+        # Its own names come after, unless one of them hides a table.
+        hides = any(re.search(rf'(?i)[\s,"]{re.escape(n)}"?\s*(?:\([^()]*\)\s*)?AS\s*\(', sql) for n in views)
+        return f"WITH {before}, {sql[own.end() :]}" if own and not hides else f"WITH {before} SELECT * FROM ({sql})"
+    return f"WITH {before} {sql}"
+
+
 def validate_plan(spark: SparkSession, sql: str, schema: StructType, tables: Mapping[str, DataFrame] | None = None) -> StructType:
     """The output schema of sql over logs of a schema; only analysed, nothing runs."""
     return run_sql(sql, spark.createDataFrame([], schema), tables).schema

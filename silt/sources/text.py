@@ -167,10 +167,16 @@ def reassemble(lines: DataFrame) -> DataFrame:
     cut = F.octet_length("message") > MESSAGE_BYTES
     return joined.select(
         "path", last["line_no"].alias("line_no"), last["time"].alias("time"), "stream",
-        F.when(cut, F.substring("message", 1, MESSAGE_BYTES)).otherwise(F.col("message")).alias("message"), cut.alias("truncated"),
+        F.when(cut, first_bytes(F.col("message"), MESSAGE_BYTES)).otherwise(F.col("message")).alias("message"), cut.alias("truncated"),
     )
 
 
+def first_bytes(x: Column, n: int) -> Column:
+    """The whole characters within the first n bytes of a text."""
+    cuts = [F.substring(x.cast("binary"), 1, n - k).cast("string") for k in range(4)]
+    return F.coalesce(*[F.try_validate_utf8(c) for c in cuts])
+
+
 def cri(lines: DataFrame) -> DataFrame:
     """CRI lines as value (JSON text or null), body (plain text or null), _timestamp and _stream, with path and line_no."""
     return _split_message(reassemble(lines))

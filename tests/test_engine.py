@@ -2,6 +2,7 @@ import gzip
 import json
 import socket
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from silt.operators import enrich, joins, processors, star
 from silt.plans import config
+from silt.plans.runner import run_sql
 from silt.sinks import deliver, encode
 from silt.sources import arrow_ipc, generator, net, otlp, text
 from silt.streaming import runner
@@ -348,3 +350,40 @@ def test_yaml_pipeline(spark, tmp_path):
 def test_bad_configurations(bad):
     with pytest.raises(config.ConfigError):
         config.load(bad, {})
+
+
+def test_queries_side_by_side_see_their_own_rows(spark):
+    def one(k):
+        logs = spark.createDataFrame([(k, i) for i in range(20)], "k int, i int")
+        names = spark.createDataFrame([(k, f"n{k}")], "k int, name string")
+        sql = "WITH some AS (SELECT * FROM logs WHERE i < 7) SELECT s.k, n.name, COUNT(*) AS n FROM some s JOIN names n ON s.k = n.k GROUP BY ALL"
+        return k, [tuple(r) for r in run_sql(sql, logs, {"names": names}).collect()]
+
+    with ThreadPoolExecutor(6) as pool:
+        for k, rows in pool.map(one, range(24)):
+            assert rows == [(k, f"n{k}", 7)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("silt_")]
+
+
+def test_tables_may_be_hidden_by_a_query_of_its_own(spark):
+    logs, names = spark.range(5).withColumnRenamed("id", "i"), spark.range(3).withColumnRenamed("id", "n")
+    assert run_sql("WITH names AS (SELECT n + 10 AS n FROM names) SELECT n FROM names ORDER BY n", logs, {"names": names}).collect()[0]["n"] == 10
+    assert run_sql("SELECT logs.i FROM logs ORDER BY i DESC LIMIT 2", logs).collect()[0]["i"] == 4
+    assert run_sql("(SELECT i FROM logs) UNION ALL SELECT n FROM names", logs, {"names": names}).count() == 8
+
+
+def test_long_messages_are_cut_at_a_character(spark, monkeypatch):
+    monkeypatch.setattr(text, "MESSAGE_BYTES", 10)
+    rows = [("t stdout P ", "ää"), ("t stdout F ", "ääää"), ("t stderr F ", "12345678€"), ("t stderr F ", "1234567890")]
+    lines = spark.createDataFrame([(a + b, "f", k) for k, (a, b) in enumerate(rows)], "value string, path string, line_no long")
+    out = [(r["message"], r["truncated"]) for r in text.reassemble(lines).orderBy("line_no").collect()]
+    assert out == [("äääää", True), ("12345678", True), ("1234567890", False)]
+
+
+def test_star_of_shuffled_rows(spark):
+    df = spark.range(3000).selectExpr("id AS event_id", "'m' || id AS message", "id % 7 AS `resource.attributes.pod`")
+    df = df.repartition(11).groupBy("event_id", "message", "`resource.attributes.pod`").agg(F.count(F.lit(1)).alias("n"))
+    made = star.flat_to_star(df)
+    own = made.log_attrs.where("key = 'event_id'").select("parent_id", "int")
+    met = made.logs.join(own, made.logs["id"] == own["parent_id"]).join(made.resource_attrs.selectExpr("parent_id AS resource_id", "int AS pod"), "resource_id")
+    assert met.count() == 3000 and met.where("body_str <> 'm' || int OR pod <> int % 7").count() == 0

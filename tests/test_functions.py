@@ -32,7 +32,9 @@ def test_int_and_float(logs):
         (r"(\w+) (\S+) (\d+) (\d+)ms", 2, ["/api/users", "/api/orders", None, None]),
         (r"(\w+) (\S+) (\d+) (\d+)ms", 0, ["GET /api/users 200 15ms", "POST /api/orders 500 230ms", None, None]),
         (r"(GET)?.*api", 1, ["GET", None, None, None]), (r"(x*)GET", 1, ["", None, None, None]), (r"(x*)?GET|no", 1, ["", None, None, None]),
-        (r"api", 3, [None] * 4),
+        (r"api", 3, [None] * 4), (r"(\p{L}+) (\S+)", 1, ["GET", "POST", None, None]), (r"([a-z&&[^n]]+)$", 1, ["ms", "ms", "g", None]),
+        (r"(?P<the_verb>[A-Z]+) (?<path>\S+)", 2, ["/api/users", "/api/orders", None, None]), (r"o|(z?)GET|(t)h", 1, ["", None, None, None]),
+        (r"(?i)get()|(post)", 1, ["", None, None, None]), (r"(?i)get()|(post)", 2, [None, "POST", None, None]),
     ],
 )
 def test_regexp_extract(spark, pattern, group, want):
