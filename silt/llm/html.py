@@ -52,11 +52,10 @@ _TAG = re.compile(
 _NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: What an element's attributes must have to say anything about its zone.
 _TELLING = re.compile("class|id|role|hidden|display", re.I)
-_BLANK = re.compile(r"\s+")
 _TITLE = re.compile(r"<title\b[^>]*+>([^<]*+)", re.I)
 _CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head title".split())
 CHROME_TAGS = frozenset("nav header footer aside form dialog menu button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
@@ -162,8 +161,9 @@ def parse(html: str) -> Page:
         return CHROME if chrome else ARTICLE if article else MAIN if main else OUTSIDE
 
     def flush() -> None:
-        line = _BLANK.sub(" ", unescape("".join(text))).strip()
+        raw = "".join(text)
         text.clear()
+        line = " ".join((unescape(raw) if "&" in raw else raw).split())
         if line:
             page.lines.append(line)
             page.zones.append(zone_of_text)
@@ -186,8 +186,8 @@ def parse(html: str) -> Page:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
-            if isinstance(m, _Span) and m.tag == "head" and (own := _TITLE.search(html, m.start(), m.end())):
-                page.title = _BLANK.sub(" ", unescape(own[1])).strip()
+            if isinstance(m, _Span) and m.tag in ("head", "title") and (own := _TITLE.search(html, m.start(), m.end())):
+                page.title = " ".join(unescape(own[1]).split())
             continue
         if tag in BLOCK:
             flush()

@@ -1,4 +1,5 @@
 import gzip
+import json
 import math
 import re
 import time
@@ -178,6 +179,44 @@ def _members(data):
         data = d.unused_data
 
 
+def _response(url, http, payload, date="2023-05-06T07:08:09Z", **more):
+    block = ("HTTP/1.1 404 Not Found\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n").encode() + payload
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{url}>"), ("WARC-Date", date), ("WARC-Target-URI", url), *more.items()]
+    return warc.write_record([*headers, ("Content-Type", "application/http;msgtype=response")], block)
+
+
+def test_warc_files(spark, tmp_path):
+    page = "<html><title>Ä</title><p>größer &amp; <a href='/x'>weiter</a></p></html>"
+    chunked = lambda b: b"".join(b"%x;q=1\r\n%s\r\n" % (len(b[i : i + 9]), b[i : i + 9]) for i in range(0, len(b), 9)) + b"0\r\n\r\n"
+    latin, utf = page.encode("latin-1"), page.encode()
+    bodies = {
+        "plain": ([("Content-Type", "text/html; charset=ISO-8859-1")], latin),
+        "meta": ([], b"<meta charset='latin-1'>" + latin),
+        "gzip": ([("Content-Encoding", "gzip"), ("X-Odd", "1"), ("X-Odd", "2")], gzip.compress(utf)),
+        "chunked": ([("Transfer-Encoding", "chunked"), ("Content-Encoding", "deflate")], chunked(zlib.compress(utf))),
+        "broken": ([("Content-Encoding", "br")], utf), "none": ([], b""),
+    }
+    records = [_response(k, *v, Odd_Header="kept") for k, v in bodies.items()]
+    records.insert(1, warc.write_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x:i>")], b"software: x"))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:4]))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[4:]))
+    rows = warc.read_warc(spark, str(tmp_path))
+    assert rows.count() == len(records)
+    out = {r["url"]: r for r in warc.convert(rows).collect()}
+    assert set(out) == set(bodies)
+    for k, (http, payload) in bodies.items():
+        r, meta = out[k], json.loads(out[k]["metadata"])
+        assert r["refers_to"] == f"<urn:x:{k}>" and r["source_date"] == "2023-05-06T07:08:09Z" and r["payload_digest"] == warc.digest(payload)
+        assert r["http_status"] == "HTTP/1.1 404 Not Found" and meta["http"]["headers"] == [list(x) for x in http]
+        assert ["Odd_Header", "kept"] in meta["warc"] and meta["payload"].get("undecoded") == ("br" if k == "broken" else None)
+        assert r["text"] == ("" if k == "none" else "größer & weiter"), k
+    assert dict(out["gzip"]["http_headers"])["X-Odd"] == "1, 2"
+    (tmp_path / "c.warc").write_bytes(b"".join(bytes(r["records"]) for r in out.values()))
+    kinds = warc.read_warc(spark, str(tmp_path / "c.warc")).selectExpr("filter(headers, h -> h.name = 'WARC-Type')[0].value AS kind")
+    assert {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()} == {"metadata": 6, "conversion": 6}
+    assert warc.convert(rows.limit(0)).count() == 0
+
+
 def test_warc_errors():
     with pytest.raises(ValueError):
         list(warc.read_records(b"nonsense\r\n"))
