@@ -17,6 +17,7 @@ def main(args: list[str] | None = None) -> int:
     g.add_argument("n", type=int)
     g.add_argument("--complexity", default="simple")
     p.add_argument("--master", default=None)
+    p.add_argument("--spool", default="silt-spool", help="the folder of what receivers take, shared with the executors")
     a = p.parse_args(args)
     if a.verb != "generate":
         with open(a.config, encoding="utf-8") as f:
@@ -25,19 +26,37 @@ def main(args: list[str] | None = None) -> int:
             except config.ConfigError as e:
                 print(f"error: {e}", file=sys.stderr)
                 return 1
-        if a.verb == "validate":
-            print(f"ok: {', '.join(pipelines)}")
-            return 0
     from silt.session import session
     from silt.sinks import deliver
     from silt.sources import generator
 
     spark = session(a.master)
+    if a.verb == "validate":
+        for name, pipeline in pipelines.items():
+            try:
+                planned = config.validate(spark, pipeline, name)
+            except (config.ConfigError, ValueError, OSError) as e:
+                print(f"error: {e}", file=sys.stderr)
+                return 1
+            for of, schema in planned.items():
+                print(f"ok: {name} {of} {schema}")
+        return 0
     if a.verb == "generate":
         deliver.to_stdout(generator.logs(spark, a.n, complexity=a.complexity), "json")
     else:
-        for pipeline in pipelines.values():
-            config.run(spark, pipeline)
+        served = []
+        for name, pipeline in pipelines.items():
+            if pipeline.inputs[0]["type"] in config.PUSHED:
+                served.append(config.serve(spark, pipeline, f"{a.spool}/{name}"))
+            else:
+                config.run(spark, pipeline)
+        try:
+            for s in served:
+                for q in s.queries:
+                    q.awaitTermination()
+        except KeyboardInterrupt:
+            for s in served:
+                s.close()
     return 0
 
 

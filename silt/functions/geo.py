@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
+from silt.functions import mmdb
+
 FIELDS = (
     "country_code string, country_name string, city string, region string, latitude double, longitude double, asn bigint, org string"
 )
@@ -72,6 +74,16 @@ def read_ranges(lines) -> Ranges:
     return Ranges([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
 
 
+def read_database(path: str, format: str = "csv_range") -> Ranges:
+    """A geo database from a file: ranges in CSV, or a MaxMind database."""
+    if format == "csv_range":
+        with open(path, encoding="utf-8", newline="") as f:
+            return read_ranges(f)
+    if format != "mmdb":
+        raise ValueError(f"unknown geo database format {format!r}")
+    return mmdb.read(path)
+
+
 def geo_lookup(ranges: Ranges):
     """A pandas UDF: the range's fields for an IP text, all null where there is none."""
 

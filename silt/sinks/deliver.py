@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from silt.sinks import encode
+from silt.sources import arrow_ipc
 
 #: Bytes of one datagram.
 DATAGRAM = 1400
@@ -91,17 +92,54 @@ def post(lines: DataFrame, send: Send, codec: str = "none", limit: int = 5 << 20
     def part(rows) -> None:
         for row in rows:
             body, headers = compressed(row["payload"].encode(), codec)
-            for attempt in range(tries):
-                outcome = classify(*send(body, {"Content-Type": mime, **headers}))
-                if outcome.kind == "ok":
-                    break
-                if outcome.kind == "reject" or attempt == tries - 1:
-                    raise RuntimeError(f"a payload of {row['lines']} lines was not taken: {outcome.kind}")
-                time.sleep(outcome.after or 0.1 * 2**attempt)
+            _take(send, body, {"Content-Type": mime, **headers}, tries, f"a payload of {row['lines']} lines")
 
     encode.batches(lines, limit).foreachPartition(part)
 
 
+def post_each(bodies: DataFrame, send: Send, mime: str, codec: str = "none", tries: int = 4) -> None:
+    """Posts each body (a text or binary column, the only one) by itself, with the same rules as post()."""
+
+    def part(rows) -> None:
+        for (body,) in rows:
+            data, headers = compressed(body.encode() if isinstance(body, str) else bytes(body), codec)
+            _take(send, data, {"Content-Type": mime, **headers}, tries, "a payload")
+
+    bodies.foreachPartition(part)
+
+
+def _take(send: Send, data: bytes, headers: Mapping[str, str], tries: int, what: str) -> None:
+    for attempt in range(tries):
+        outcome = classify(*send(data, headers))
+        if outcome.kind == "ok":
+            return
+        if outcome.kind == "reject" or attempt == tries - 1:
+            raise RuntimeError(f"{what} was not taken: {outcome.kind}")
+        time.sleep(outcome.after or 0.1 * 2**attempt)
+
+
+def to_loki(df: DataFrame, send: Send, labels: Mapping[str, str], static: Mapping[str, str] | None = None, observed_ns: int | None = None) -> None:
+    """Labelled streams as push requests of about 1 MiB."""
+    rows = encode.streams(df, dict(labels), dict(static or {}), time.time_ns() if observed_ns is None else observed_ns)
+    post_each(encode.pushes(rows), send, "application/json")
+
+
+def to_otlp(df: DataFrame, send: Send, protobuf: bool = True, codec: str = "none", observed_ns: int | None = None) -> None:
+    """Log requests over HTTP, in protobuf or JSON."""
+    from silt.sources import otlp_wire
+
+    requests = encode.otlp_requests(df, time.time_ns() if observed_ns is None else observed_ns)
+    if protobuf:
+        post_each(otlp_wire.from_json(requests), send, "application/x-protobuf", codec)
+    else:
+        post_each(requests, send, "application/json", codec)
+
+
+def to_arrow_ipc(df: DataFrame, send: Send, codec: str = "none") -> None:
+    """Each partition's Arrow batches as IPC streams, made and posted on the executors."""
+    post_each(arrow_ipc.streams(df), send, "application/vnd.apache.arrow.stream", codec)
+
+
 def to_tcp(df: DataFrame, host: str, port: int) -> None:
     """JSON lines over a connection a partition; a broken one is opened once more."""
 

@@ -1,9 +1,16 @@
-"""Rows as payloads: JSON lines, text, console lines, bulk requests, labelled streams and OTLP JSON. All JVM-side."""
+"""Rows as payloads: JSON lines, text, console lines, bulk requests, labelled streams and OTLP JSON.
+
+Rows are encoded by Spark's own functions; Python only joins encoded rows to payloads, in Arrow batches.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -23,6 +30,11 @@ from silt import schema as names
 from silt.functions.scalar import epoch_nanos, severity_number
 from silt.schema import double_text, is_conflict
 
+#: Records that a task holds back to send with others of their resource.
+HELD_RECORDS = 50_000
+#: Bytes of a push of labelled streams, about.
+PUSH_BYTES = 1 << 20
+
 _ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
 
 
@@ -176,6 +188,38 @@ def streams(df: DataFrame, labels: dict[str, str], static: dict[str, str] | None
     return rows.select(F.map_from_entries("silt_labels").alias("labels"), grown.alias("ns"), "line")
 
 
+def pushes(rows: DataFrame, limit: int = PUSH_BYTES) -> DataFrame:
+    """Push bodies (value) of labelled rows (see streams) of about `limit` bytes, a stream's rows in order of time.
+
+    Rows are dealt by label set, so a stream's pushes come from one task in order; a stream may take many pushes.
+    """
+    flat = rows.select(F.to_json("labels").alias("labels"), "ns", "line")
+    flat = flat.repartition("labels").sortWithinPartitions("labels", "ns")
+    return flat.mapInArrow(partial(_pushed, limit), "value string")
+
+
+def _pushed(limit: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list] = {}
+    size = 0
+
+    def body() -> pa.RecordBatch:
+        streams = [f'{{"stream":{labels or "{}"},"values":[{",".join(values)}]}}' for labels, values in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(['{"streams":[' + ",".join(streams) + "]}"], pa.string())], names=["value"])
+
+    for part in parts:
+        for labels, ns, line in zip(*(c.to_pylist() for c in part.columns)):
+            value = f'["{ns}",{json.dumps(line, ensure_ascii=False)}]'
+            new = size + len(value.encode("utf-8", "surrogatepass")) + (0 if labels in held else len(labels or "") + 32)
+            if held and new > limit:
+                yield body()
+                new = len(value) + len(labels or "") + 32
+            held.setdefault(labels, []).append(value)
+            size = new
+    if held:
+        yield body()
+
+
 def _any_value(x: Column, kind: DataType) -> Column:
     if isinstance(kind, BooleanType):
         return F.concat(F.lit('{"boolValue":'), x.cast("string"), F.lit("}"))
@@ -200,8 +244,8 @@ def _attribute_list(df: DataFrame, columns: dict[str, str]) -> Column:
 def otlp_requests(df: DataFrame, observed_ns: int = 0, rows_each: int = 10_000) -> DataFrame:
     """OTLP JSON requests (value), a resource and scope each, of at most rows_each records.
 
-    Records are grouped by resource attributes and scope; a large group is cut into several requests, so none is
-    gathered whole.
+    Records are grouped by resource attributes and scope within each partition, in order; nothing is shuffled, a large
+    group is cut into several requests, and a partition of very many resources sends them off when HELD_RECORDS wait.
     """
     df = names.normalize_conflicts(df)
     time, level, body = (names.role(df, r) for r in (names.TIMESTAMP, names.SEVERITY, names.BODY))
@@ -227,13 +271,36 @@ def otlp_requests(df: DataFrame, observed_ns: int = 0, rows_each: int = 10_000)
     scope = [F.concat(F.lit(f'"{k}":'), json_string(text(c))) for c, k in ((names.SCOPE_NAME, "name"), (names.SCOPE_VERSION, "version")) if c in df.columns]
     rows = df.select(
         _attribute_list(df, resource).alias("resource"), (F.concat(F.lit("{"), F.concat_ws(",", *scope), F.lit("}")) if scope else F.lit("{}")).alias("scope"),
-        F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("record"), F.monotonically_increasing_id().alias("silt_id"),
+        F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("record"),
     )
-    # Cut by the rows' own numbers: within a partition they are consecutive.
-    groups = rows.groupBy("resource", "scope", F.floor(F.col("silt_id") / rows_each).alias("part"))
-    records = F.array_join(F.array_sort(F.collect_list(F.struct("silt_id", "record")))["record"], ",")
-    return groups.agg(records.alias("records")).select(
-        F.concat(
-            F.lit('{"resourceLogs":[{"resource":{"attributes":'), "resource", F.lit('},"scopeLogs":[{"scope":'), "scope",
-            F.lit(',"logRecords":['), "records", F.lit("]}]}]}"),
-        ).alias("value"))
+    return rows.select("resource", "scope", "record").mapInArrow(partial(_requests, rows_each), "value string")
+
+
+def _requests(rows_each: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of a partition's records by resource and scope; one is sent off when it is full, or all when many are held."""
+    held: dict[tuple[str, str], list[str]] = {}
+
+    def request(key: tuple[str, str]) -> str:
+        records = ",".join(held.pop(key))
+        return f'{{"resourceLogs":[{{"resource":{{"attributes":{key[0]}}},"scopeLogs":[{{"scope":{key[1]},"logRecords":[{records}]}}]}}]}}'
+
+    def batch(values: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+
+    n = 0
+    for part in parts:
+        full = []
+        for resource, scope, record in zip(*(c.to_pylist() for c in part.columns)):
+            own = held.setdefault((resource, scope), [])
+            own.append(record)
+            n += 1
+            if len(own) == rows_each:
+                full.append(request((resource, scope)))
+                n -= rows_each
+        if n >= HELD_RECORDS:
+            full += [request(key) for key in list(held)]
+            n = 0
+        if full:
+            yield batch(full)
+    if held:
+        yield batch([request(key) for key in list(held)])

@@ -37,6 +37,11 @@ def schema(columns: str) -> StructType:
     return StructType.fromDDL(columns.replace(" u64", " decimal(20,0)").strip())
 
 
+def of(kind: str) -> StructType:
+    """The schema of an input's rows."""
+    return schema(HOST_METRICS if kind in ("host_metrics", "macos_es_sensor", "windows_ebpf_sensor") else PLATFORM_SENSOR)
+
+
 def typed_rows(lines: DataFrame, columns: str) -> DataFrame:
     """JSON lines (value) as rows of a schema; missing fields are null."""
     return lines.select(F.from_json("value", schema(columns)).alias("r")).select("r.*")

@@ -109,32 +109,35 @@ def json_rows(lines: DataFrame, schema: StructType, keep: tuple[str, ...] = ())
     """A row for each line, with the fields of schema; a line that is no JSON object gives nulls.
 
     Nested values are raw JSON text; the first of duplicate keys wins; names match without case where the schema's own
-    spelling isn't there. A conflict struct has the child of the value's own type.
+    spelling isn't there. A conflict struct has the child of the value's own type. A line is parsed once; only text
+    that isn't a JSON string (numbers as they are written, nested values, lines with duplicate keys) is cut from it again.
     """
-    out = [F.col(c) for c in keep]
+    out = [F.col(f"`{c}`") for c in keep]
+    parsed = lines.withColumn("silt_json", F.try_parse_json("value"))
     for f in schema:
         key = f.name.replace("\\", "\\\\").replace("'", "\\'")
-        text = F.expr(f"get_json_object(value, '$[\\'{key}\\']')")
+        path = f"'$[\\'{key}\\']'"
+        text, kind = F.expr(f"get_json_object(value, {path})"), F.expr(f"schema_of_variant(try_variant_get(silt_json, {path}, 'variant'))")
+        value = lambda to, path=path: F.expr(f"try_variant_get(silt_json, {path}, '{to}')")
         if isinstance(f.dataType, StringType):
-            out.append(text.alias(f.name))
+            shown = F.when(kind == "STRING", value("string")).when(F.col("silt_json").isNull() | (kind.isNotNull() & (kind != "VOID")), text)
+            out.append(shown.alias(f.name))
             continue
-        kind = F.expr(f"schema_of_variant(try_variant_get(try_parse_json(value), '$[\\'{key}\\']', 'variant'))")
         number = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
         typed = {
-            "int": F.when(kind == "BIGINT", text.try_cast("bigint")),
-            "float": F.when(number, text.try_cast("double")),
-            "bool": F.when(kind == "BOOLEAN", text.try_cast("boolean")),
-            "str": F.when(~number & ~kind.isin("BIGINT", "BOOLEAN", "VOID"), text),
-        }
+            "int": F.when(kind == "BIGINT", value("bigint")), "float": F.when(number, text.try_cast("double")),
+            "bool": F.when(kind == "BOOLEAN", value("boolean")),
+            "str": F.when(kind == "STRING", value("string")).when(~number & ~kind.isin("BIGINT", "BOOLEAN", "VOID"), text),
+        }
         if isinstance(f.dataType, StructType):
-            value = F.struct(*[typed[c.name].alias(c.name) for c in f.dataType])
+            both = F.struct(*[typed[c.name].alias(c.name) for c in f.dataType])
             some = F.coalesce(*[typed[c.name].cast("string") for c in f.dataType]).isNotNull()
-            out.append(F.when(some, value).alias(f.name))
+            out.append(F.when(some, both).alias(f.name))
         elif isinstance(f.dataType, DoubleType):
-            out.append(F.when(number | (kind == "BIGINT"), text.try_cast("double")).alias(f.name))
+            out.append(F.when(number, text.try_cast("double")).when(kind == "BIGINT", value("double")).alias(f.name))
         else:
             out.append(typed["int" if isinstance(f.dataType, LongType) else "bool"].alias(f.name))
-    return lines.select(*out)
+    return parsed.select(*out)
 
 
 # CRI.

@@ -1,18 +1,24 @@
 import gzip
+import ipaddress
 import json
 import socket
+import struct
 import threading
+import time
+import urllib.request
 from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from silt.functions import mmdb
 from silt.operators import enrich, joins, processors, star
 from silt.plans import config
 from silt.plans.runner import run_sql
 from silt.sinks import deliver, encode
-from silt.sources import arrow_ipc, generator, net, otlp, text
+from silt.sources import arrow_ipc, generator, net, otlp, otlp_wire, text
 from silt.streaming import runner
 
 
@@ -387,3 +393,217 @@ def test_star_of_shuffled_rows(spark):
     own = made.log_attrs.where("key = 'event_id'").select("parent_id", "int")
     met = made.logs.join(own, made.logs["id"] == own["parent_id"]).join(made.resource_attrs.selectExpr("parent_id AS resource_id", "int AS pod"), "resource_id")
     assert met.count() == 3000 and met.where("body_str <> 'm' || int OR pod <> int % 7").count() == 0
+
+
+# Configurations of pushed inputs and of every output.
+
+
+def _post(port, path, body, **headers):
+    request = urllib.request.Request(f"http://127.0.0.1:{port}{path}", body, headers)
+    with urllib.request.urlopen(request, timeout=10) as r:
+        return r.status
+
+
+class _Sink:
+    """A server that keeps what is posted to it."""
+
+    def __init__(self):
+        self.got = []
+        got = self.got
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                got.append((self.path, self.headers.get("Content-Type"), self.rfile.read(int(self.headers["Content-Length"]))))
+                self.send_response(200)
+                self.send_header("Content-Length", "0")
+                self.end_headers()
+
+            def log_message(self, *args):
+                pass
+
+        self.server = HTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def _arrow():
+    table = pa.table({"level": ["INFO", "ERROR"], "n": [1, 2]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _otlp(kind):
+    request = {"resourceLogs": [{"resource": {"attributes": []}, "scopeLogs": [{"scope": {}, "logRecords": [
+        {"timeUnixNano": str(k), "severityText": t, "body": {"stringValue": "b"}} for k, t in ((1, "INFO"), (2, "ERROR"))]}]}]}
+    return json.dumps(request).encode() if kind == "json" else otlp_wire.encode(request)
+
+
+@pytest.mark.parametrize(
+    "kind, extra",
+    [("http", "format: json"), ("tcp", "format: json"), ("udp", "format: json"), ("otlp", ""), ("arrow_ipc", 'schema: "level string, n bigint"')],
+)
+def test_served_inputs(spark, tmp_path, kind, extra):
+    out = tmp_path / "out"
+    (p,) = config.load(f"""
+input: {{type: {kind}, listen: "127.0.0.1:0", {extra}}}
+output: {{type: file, path: "{out}"}}
+transform: "SELECT level FROM logs WHERE level = 'ERROR'"
+""").values()
+    served = config.serve(spark, p, str(tmp_path / "spool"), "0 seconds")
+    try:
+        port, lines = served.receivers[0].port, b'{"level":"INFO"}\n{"level":"ERROR"}\n'
+        if kind == "http":
+            assert _post(port, "/", lines) == 200
+        elif kind == "tcp":
+            with socket.create_connection(("127.0.0.1", port)) as s:
+                s.sendall(lines)
+        elif kind == "udp":
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+                for line in lines.splitlines():
+                    s.sendto(line, ("127.0.0.1", port))
+        elif kind == "otlp":
+            for form in ("json", "protobuf"):
+                assert _post(port, "/v1/logs", _otlp(form)) == 200
+        else:
+            assert _post(port, "/v1/arrow", _arrow()) == 200
+        for _ in range(100):
+            time.sleep(0.2)
+            rows = [x for f in out.glob("part-*") for x in f.read_text().splitlines()] if out.exists() else []
+            if len(rows) >= (2 if kind == "otlp" else 1):
+                break
+        assert rows == ['{"level":"ERROR"}'] * (2 if kind == "otlp" else 1)
+    finally:
+        served.close()
+
+
+def test_posted_outputs(spark):
+    sink = _Sink()
+    rows = spark.range(3).selectExpr("'INFO' AS level", "'m' || id AS message", "CAST(1000 + id AS STRING) AS _timestamp", "CAST(id % 2 AS STRING) AS app")
+    for out in (
+        {"type": "loki", "endpoint": sink.url, "label_columns": ["app"], "static_labels": {"env": "prod"}},
+        {"type": "otlp", "endpoint": sink.url + "/v1/logs"}, {"type": "otlp", "endpoint": sink.url + "/v1/logs", "encoding": "json"},
+        {"type": "arrow_ipc", "endpoint": sink.url + "/v1/arrow"}, {"type": "http", "endpoint": sink.url}, {"type": "elasticsearch", "endpoint": sink.url},
+    ):
+        config.write_output(rows.coalesce(1), out)
+    sink.server.shutdown()
+    by = {}
+    for path, mime, body in sink.got:
+        by.setdefault((path, mime), []).append(body)
+    pushed = {json.dumps(s["stream"], sort_keys=True): s["values"] for b in by["/loki/api/v1/push", "application/json"] for s in json.loads(b)["streams"]}
+    assert [[int(t) for t, _ in pushed[f'{{"app": "{k}", "env": "prod"}}']] for k in "01"] == [[1000 * 10**9, 1002 * 10**9], [1001 * 10**9]]
+    forms = [json.loads(by["/v1/logs", "application/json"][0]), otlp_wire.decode(by["/v1/logs", "application/x-protobuf"][0])]
+    for request in forms:
+        records = request["resourceLogs"][0]["scopeLogs"][0]["logRecords"]
+        assert [r["body"]["stringValue"] for r in records] == ["m0", "m1", "m2"]
+    with pa.ipc.open_stream(by["/v1/arrow", "application/vnd.apache.arrow.stream"][0]) as r:
+        assert r.read_all().column("message").to_pylist() == ["m0", "m1", "m2"]
+    assert len(by["/", "application/x-ndjson"][0].splitlines()) == 3 and len(by["/_bulk", "application/x-ndjson"][0].splitlines()) == 6
+
+
+def test_pushes_are_cut_by_size(spark):
+    rows = spark.range(500).selectExpr("CAST(id AS STRING) AS _timestamp", "CAST(id % 3 AS STRING) AS app", "repeat('x', 90) AS message")
+    bodies = [json.loads(r["value"]) for r in encode.pushes(encode.streams(rows, {"app": "app"}), 5000).collect()]
+    assert len(bodies) > 10 and all(len(json.dumps(b)) < 7000 for b in bodies)
+    values = {}
+    for b in bodies:
+        for s in b["streams"]:
+            values.setdefault(s["stream"]["app"], []).extend(int(t) for t, _ in s["values"])
+    assert sum(map(len, values.values())) == 500 and all(v == sorted(v) for v in values.values())
+
+
+@pytest.mark.parametrize(
+    "text_",
+    [
+        "input: {type: file}\noutput: {type: 'null'}", "input: {type: http}\noutput: {type: loki}", "input: {type: arrow_ipc}\noutput: {type: 'null'}",
+        "inputs: [{type: http}, {type: generator}]\noutput: {type: 'null'}", "input: {type: generator}\noutput: {type: tcp, host: h}",
+        "input: {type: generator}\noutput: {type: 'null'}\nenrichment: [{type: odd}]",
+    ],
+)
+def test_configurations_that_cannot_run(text_):
+    with pytest.raises(config.ConfigError):
+        config.load(text_)
+
+
+def test_validate_plans_the_sql(spark, tmp_path):
+    good = "input: {type: %s}\noutput: {type: 'null'}\ntransform: %s"
+    for kind, sql in (
+        ("generator", "SELECT level, int(status) AS s FROM logs WHERE duration_ms > 5"), ("http", "SELECT l.level, COUNT(*) AS n FROM logs l GROUP BY l.level"),
+        ("http", 'SELECT level, "odd name" AS x, upper(message) FROM logs WHERE status LIKE 5'), ("otlp", "SELECT body FROM logs"),
+        ("'journald', path: '/tmp'", "SELECT unit FROM logs"), ("'linux_ebpf_sensor', path: '/tmp'", "SELECT comm FROM logs"),
+    ):
+        (p,) = config.load(good % (kind, json.dumps(sql))).values()
+        p.inputs[0]["path"] = str(tmp_path)
+        assert config.validate(spark, p)
+    for sql in ("SELECT none_such FROM logs", "SELECT level AS a, status AS a FROM logs", "SELECT level FROM logs JOIN teams ON a = b"):
+        (p,) = config.load(good % ("generator", json.dumps(sql))).values()
+        with pytest.raises(config.ConfigError):
+            config.validate(spark, p)
+
+
+def test_generator_profiles(spark):
+    (p,) = config.load("input: {type: generator, profile: record, total_events: 3, attributes: {env: prod, n: 2, ok: true, x: 1.5, none: null}, sequence: {field: seq, start: 7}}\noutput: {type: 'null'}").values()
+    rows = config.read_input(spark, p.inputs[0]).collect()
+    assert [r.asDict() for r in rows] == [{"env": "prod", "n": 2, "ok": True, "x": 1.5, "none": None, "seq": 7 + k} for k in range(3)]
+    wide = generator.logs(spark, 36, complexity="complex", message="fixed").collect()
+    assert json.loads(wide[5]["headers"])["x-request-id"] == wide[5]["request_id"] and json.loads(wide[5]["tags"]) == ["web", wide[5]["service"], wide[5]["level"]]
+    assert [u["latency_ms"] for u in json.loads(wide[7]["upstream"])] == [1 + 7 * 19 % 200, wide[7]["duration_ms"]]
+    assert wide[35]["upstream"] is None and wide[35]["headers"] and wide[1]["headers"] is None and {r["message"] for r in wide} == {"fixed"}
+
+
+def _mmdb(networks, bits):
+    """A small database: networks {cidr: record}, IPv4 below 96 zeros."""
+
+    def value(x):
+        if isinstance(x, bool):
+            return bytes([0x00 | x, 7])
+        if isinstance(x, float):
+            return b"\x68" + struct.pack(">d", x)
+        if isinstance(x, int):
+            raw = x.to_bytes(4, "big").lstrip(b"\0")
+            return bytes([0xC0 | len(raw)]) + raw
+        if isinstance(x, str):
+            raw = x.encode()
+            return (bytes([0x40 | len(raw)]) if len(raw) < 29 else bytes([0x5D, len(raw) - 29])) + raw
+        if isinstance(x, list):
+            return bytes([len(x), 4]) + b"".join(map(value, x))
+        return bytes([0xE0 | len(x)]) + b"".join(value(k) + value(v) for k, v in x.items())
+
+    nodes, data = [[None, None]], b""
+    for cidr, record in networks.items():
+        net, node = ipaddress.ip_network(cidr), 0
+        shift = 96 if net.version == 4 else 0
+        path = [0] * shift + [int(net.network_address) >> (net.max_prefixlen - 1 - k) & 1 for k in range(net.prefixlen)]
+        for bit in path[:-1]:
+            if nodes[node][bit] is None:
+                nodes.append([None, None])
+                nodes[node][bit] = len(nodes) - 1
+            node = nodes[node][bit]
+        nodes[node][path[-1]] = ("data", len(data))
+        data += value(record)
+    n, tree = len(nodes), b""
+    for pair in nodes:
+        a, b = (n if x is None else n + 16 + x[1] if isinstance(x, tuple) else x for x in pair)
+        if bits == 28:
+            tree += (a & 0xFFFFFF).to_bytes(3, "big") + bytes([(a >> 24) << 4 | b >> 24]) + (b & 0xFFFFFF).to_bytes(3, "big")
+        else:
+            tree += a.to_bytes(bits // 8, "big") + b.to_bytes(bits // 8, "big")
+    return tree + b"\0" * 16 + data + b"\xab\xcd\xefMaxMind.com" + value({"node_count": n, "record_size": bits, "ip_version": 6})
+
+
+@pytest.mark.parametrize("bits", [24, 28, 32])
+def test_binary_geo_database(spark, tmp_path, bits):
+    au = {"country": {"iso_code": "AU", "names": {"en": "Australia", "de": "Australien"}}, "city": {"names": {"en": "Sydney"}},
+          "subdivisions": [{"names": {"en": "A state with quite a long name indeed"}}], "location": {"latitude": -33.5, "longitude": 151.25, "radius": 1000}}
+    (tmp_path / "g.mmdb").write_bytes(_mmdb({"10.1.0.0/16": au, "10.2.3.0/24": {"country": {"iso_code": "NZ"}, "odd": True}, "2001:db8::/32": au}, bits))
+    text_ = f"input: {{type: generator}}\noutput: {{type: 'null'}}\nenrichment: [{{type: geo_database, path: '{tmp_path}/g.mmdb', format: mmdb}}]"
+    (p,) = config.load(text_).values()
+    config.read_tables(spark, p)
+    ips = ["10.1.200.3", "10.2.3.4", "10.2.4.4", "2001:db8::1", "::ffff:10.1.0.1", "no", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(ips)], "k int, ip string")
+    out = run_sql("SELECT k, g.country_code, g.city, g.region, g.latitude, g.asn FROM (SELECT k, geo_lookup(ip) AS g FROM logs) t ORDER BY k", df)
+    full = ("AU", "Sydney", "A state with quite a long name indeed", -33.5, None)
+    assert [tuple(r)[1:] for r in out.collect()] == [full, ("NZ", None, None, None, None), (None,) * 5, full, full, (None,) * 5, (None,) * 5]
+    with pytest.raises(ValueError):
+        mmdb.Mmdb(b"nothing")
