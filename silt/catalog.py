@@ -247,13 +247,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from silt import frames
+    from silt import frames, frames_io  # noqa: F401
 
     return {n: sql_query(s) for n, (s, _) in SQL.items()} | {n: f for n, (f, _) in frames.FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from silt import frames
+    from silt import frames, frames_io  # noqa: F401
 
     out = {n: o or re.sub(r"\blogs\b", "events", s) for n, (s, o) in SQL.items()}
     return out | {n: o for n, (_, o) in frames.FRAMES.items() if o}

@@ -6,23 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet below spark.checkpoint.dir: computed once, whatever reads it and however often.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path not used before below spark.checkpoint.dir; what is written there goes when the driver's JVM ends.
 
-    The files go when the driver's JVM ends. Without that setting a temporary folder serves, on a local master only.
+    Without that setting a temporary folder serves, on a local master only.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="silt-checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a fresh path: computed once, whatever reads it and however often."""
+    path = fresh_path(df.sparkSession, "written")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
