@@ -92,3 +92,22 @@ kept AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(l, '[^{_SPACES}]')
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
     CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+#: Shingle sets of op2 as texts; similar sets are found through the shingles that they share, classes by reachability.
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACES}]+') AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+whole AS (SELECT doc_id, count(*) AS n, md5(array_to_string(list_sort(list(s)), chr(10))) AS k FROM gram GROUP BY doc_id),
+node AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM whole GROUP BY k),
+own AS (SELECT rep, s FROM gram JOIN node ON doc_id = rep),
+pair AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM own a JOIN own b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep),
+near AS (SELECT x, y FROM pair JOIN node p ON p.rep = x JOIN node q ON q.rep = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+edge AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+links AS (SELECT x AS rep, count(*) AS n_links FROM edge GROUP BY x),
+reach(rep, other) AS (SELECT rep, rep FROM node UNION SELECT reach.rep, edge.y FROM reach JOIN edge ON reach.other = edge.x),
+class AS (SELECT rep, min(other) AS class_id FROM reach GROUP BY rep)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(node.rep, d.doc_id) AS rep_id, CAST(coalesce(copies, 1) AS BIGINT) AS n_copies,
+    CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(whole.n, 0) AS BIGINT) AS n_grams
+FROM d LEFT JOIN whole USING (doc_id) LEFT JOIN node USING (k) LEFT JOIN links USING (rep) LEFT JOIN class USING (rep)
+"""

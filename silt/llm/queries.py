@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": oracles.JACCARD,
         "op6_quality_rules": oracles.QUALITY,
         "op7_substring_dedup": oracles.SUBSTRING,
         "op9_line_dedup": oracles.LINES,
