@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from silt.llm.quality import BOILERPLATE
+
 _SPACES = r"\x20\x09-\x0D"
 
 #: Words of op7, with the windows' texts compared as they are.
@@ -39,12 +41,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 _W = rf"regexp_extract_all(l, '[^{_SPACES}]+')"
-_STOCK = (
-    r"(?i)all rights reserved|copyright (?:©|\(c\)|[12][0-9]{3})|terms (?:of (?:use|service)|and conditions)|privacy policy"
-    r"|cookie (?:policy|settings)|(?:uses?|accept) cookies|enable javascript|lorem ipsum|powered by "
-    r"|subscribe to our|sign up for our|skip to (?:main )?content|click here|licen[cs]ed under (?:the|a|cc)\b"
-    r"|released under the "
-)
+_STOCK = "(?i)" + "|".join(phrase.replace("'", "''") for _, phrase in BOILERPLATE)
 
 #: Lines of op6 and their rules, in the order in which they are tried.
 QUALITY = rf"""

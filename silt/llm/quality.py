@@ -2,7 +2,7 @@
 
 Each line is judged by itself; lines that fail are taken out; a document goes when too much of its text went with them
 or when its base figures fail. Edge cases: a null text is an empty text, has no words and fails the base rule
-(n_words < 20); empty lines are neither judged nor counted and stay where they are; repeated rows are judged alike; a
+(n_words < 20); stock phrases are those of four languages, see BOILERPLATE; empty lines are neither judged nor counted and stay where they are; repeated rows are judged alike; a
 column of the input that has the name of a result column is replaced; an empty table gives an empty table. Nothing
 depends on other rows, so any partitioning and any text length give the same result.
 """
@@ -31,13 +31,25 @@ _WORD = re.compile(f"[^{_SPACES}]+")
 _ENDS = tuple(".!?:;…。！？\"'”’»)]")
 _LACED = re.compile(r"[#*$%&|<>]{2,}(?=[ \t\x0b\x0c\r]|$)")
 _SEPARATOR = re.compile(r"(?:^|[ \t])[|»›>•·](?=[ \t]|$)")
-_BOILERPLATE = re.compile(
-    r"all rights reserved|copyright (?:©|\(c\)|[12][0-9]{3})|terms (?:of (?:use|service)|and conditions)|privacy policy"
-    r"|cookie (?:policy|settings)|(?:uses?|accept) cookies|enable javascript|lorem ipsum|powered by "
-    r"|subscribe to our|sign up for our|skip to (?:main )?content|click here|licen[cs]ed under (?:the|a|cc)\b"
-    r"|released under the ",
-    re.I,
-)
+#: Stock phrases of web pages in English, Spanish, French and German; each stands with a part of it in lower case that is
+#: looked for first.
+BOILERPLATE = (
+    ("rights reserved", r"all rights reserved"), ("copyright", r"copyright (?:©|\(c\)|[12][0-9]{3})"),
+    ("terms ", r"terms (?:of (?:use|service)|and conditions)"), ("privacy policy", r"privacy policy"), ("cookie ", r"cookie (?:policy|settings)"),
+    ("cookies", r"(?:uses?|accept) cookies"), ("enable javascript", r"enable javascript"), ("lorem ipsum", r"lorem ipsum"),
+    ("powered by ", r"powered by "), ("subscribe to our", r"subscribe to our"), ("sign up for our", r"sign up for our"),
+    ("skip to ", r"skip to (?:main )?content"), ("click here", r"click here"), ("ed under ", r"licen[cs]ed under (?:the|a|cc)\b"),
+    ("released under the ", r"released under the "),
+    ("derechos reservados", r"todos los derechos reservados"), ("de privacidad", r"pol[ií]tica de privacidad"), ("de cookies", r"pol[ií]tica de cookies"),
+    ("condiciones", r"t[eé]rminos y condiciones"), ("haga clic aqu", r"haga clic aqu[ií]"), ("se a nuestro", r"suscr[ií]b[ae]n?se a nuestro"),
+    ("droits réservés", r"tous droits réservés"), ("de confidentialité", r"politique de confidentialité"), ("légales", r"mentions légales"),
+    ("utilisation", r"conditions (?:générales )?d['’]utilisation"), ("cliquez ici", r"cliquez ici"), ("abonnez-vous", r"abonnez-vous à notre"),
+    ("rechte vorbehalten", r"alle rechte vorbehalten"), ("datenschutzerkl", r"datenschutzerklärung"), ("nutzungsbedingungen", r"nutzungsbedingungen"),
+    ("klicken sie hier", r"klicken sie hier"), ("abonnieren sie unser", r"abonnieren sie unser"), ("verwendet cookies", r"verwendet cookies"),
+    ("utiliza cookies", r"utiliza cookies"), ("utilise des cookies", r"utilise des cookies"),
+)
+_PARTS = tuple(part for part, _ in BOILERPLATE)
+_BOILERPLATE = re.compile("|".join(phrase for _, phrase in BOILERPLATE), re.I)
 
 LINE_RULES = ("punctuation", "navigation", "boilerplate", "shouting", "stutter")
 
@@ -62,7 +74,8 @@ def line_fault(line: str) -> str | None:
             return "shouting"
         if 2 * sum(a == b for a, b in zip(words, words[1:])) >= n:
             return "stutter"
-    return "boilerplate" if _BOILERPLATE.search(line) else None
+    low = line.lower()
+    return "boilerplate" if any(part in low for part in _PARTS) and _BOILERPLATE.search(line) else None
 
 
 def clean(text: str) -> tuple[str, int, int]:

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -43,6 +44,7 @@ def test_base_figures(which, request):
         ("This is a plain sentence that ends well.", None), ("Short title", None),
         ("Home | About | Contact | News", "navigation"), ("these words have no sentence mark at all", "punctuation"),
         ("win### big*** money$$$ now&&& here.", "punctuation"), ("All rights reserved.", "boilerplate"),
+        ("Alle Rechte vorbehalten.", "boilerplate"), ("TÉRMINOS Y CONDICIONES.", "boilerplate"), ("Tous droits réservés.", "boilerplate"),
         ("BUY THIS NOW OR NEVER AGAIN!", "shouting"), ("word word word word word word.", "stutter"),
     ],
 )
@@ -145,3 +147,10 @@ def test_mix_keeps_rows_with_their_own_source(spark):
     assert by == plan
     assert all(r["source"] == ["x", "y", None][r["copies"] % 3] and r["target"] == -1 for r in out.collect())
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
+
+
+def test_each_stock_phrase_has_its_part():
+    for part, phrase in quality.BOILERPLATE:
+        said = re.sub(r"\(\?:([^|)]*)[^()]*(?:\([^()]*\)[^()]*)*\)\??", r"\1", phrase).replace("\\(c\\)", "(c)").replace("\\b", "")
+        said = re.sub(r"\[(.)[^\]]*\](?:\{3\})?", r"\1", said).replace("?", "")
+        assert part in said.lower() and part == part.lower(), (part, said)
