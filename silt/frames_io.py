@@ -12,7 +12,7 @@ from silt.operators import enrich, processors, star
 from silt.plans import config
 from silt.plans.runner import run_sql
 from silt.sinks import deliver, encode
-from silt.sources import arrow_ipc, generator, net, otlp, otlp_wire, schemas, text
+from silt.sources import arrow_ipc, chunk, generator, net, otlp, otlp_wire, schemas, segment, text
 from silt.store import fresh_path
 from silt.streaming import runner
 
@@ -166,6 +166,30 @@ def sensor_rows(spark, sf_dir):
     return schemas.matching(rows, "comm", ["c*", "?iew"], ["none*"]).select("pid", "comm")
 
 
+@query("""SELECT event_id AS pid, event_type AS process, CASE event_id % 3 WHEN 0 THEN 'Default' WHEN 1 THEN 'Info' END AS level FROM events
+    WHERE event_id % 3 < 2 AND event_type = 'click'""")
+def system_log_rows(spark, sf_dir):
+    level = F.get(F.array(*map(F.lit, ("Default", "Info", "Debug"))), (F.col("event_id") % 3).cast("int"))
+    line = F.to_json(F.struct(
+        level.alias("messageType"), F.concat(F.lit("/usr/bin/"), "event_type").alias("processImagePath"), F.col("event_id").alias("processID")))
+    return net.system_log(events(spark, sf_dir).select(line.alias("value")), "info", processes=["click"]).select("pid", "process", "level")
+
+
+@query("SELECT event_id, props FROM events")
+def chunk_round_trip(spark, sf_dir):
+    payloads = encode.batches(encode.json_lines(events(spark, sf_dir).select("event_id", "props")).select(F.concat("value", F.lit("\n")).alias("value")), 4000)
+    raw = chunk.unpacked(chunk.packed(payloads, "payload"))
+    lines = raw.select(F.explode(F.split(F.col("value").cast("string"), "\n")).alias("value")).where("value <> ''")
+    row = text.json_rows(lines, _strings("event_id", "props"))
+    return row.select(F.col("event_id").cast("bigint").alias("event_id"), "props")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def segment_round_trip(spark, sf_dir):
+    rows, sql = events(spark, sf_dir).select("event_id", "event_type", "value"), "SELECT 1"
+    return segment.rows_of(segment.packed(rows, rows_each=100, sql=sql), "event_id bigint, event_type string, value double", sql)
+
+
 @query("SELECT event_id, event_type, value, props FROM events")
 def arrow_streams(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "event_type", "value", "props")

@@ -144,6 +144,8 @@ def read_input(spark: SparkSession, i: dict, style: str = "none") -> DataFrame:
         return spark.read.schema(schemas.of(i["type"])).json(i["path"])
     if i["type"] == "journald":
         return net.journal(spark.read.text(i["path"]), i.get("units", ()), i.get("identifiers", ()), i.get("priority"))
+    if i["type"] == "macos_log":
+        return net.system_log(spark.read.text(i["path"]), i.get("level"), i.get("subsystems", ()), i.get("processes", ()))
     if i["type"] == "stdin":
         import sys
 

@@ -111,3 +111,18 @@ def journal(lines: DataFrame, units: list[str] = (), identifiers: list[str] = ()
     if identifiers:
         rows = rows.where(F.col("identifier").isin(*identifiers))
     return rows if priority is None else rows.where(F.col("priority") <= priority)
+
+
+def system_log(lines: DataFrame, level: str | None = None, subsystems: list[str] = (), processes: list[str] = ()) -> DataFrame:
+    """Rows of a desktop system log's JSON stream, at a level or above (default, info, debug) and by subsystem and process."""
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    process = F.element_at(F.split(get("processImagePath"), "/"), -1)
+    rows = lines.select(
+        get("timestamp").alias("timestamp"), get("messageType").alias("level"), get("subsystem").alias("subsystem"), get("category").alias("category"),
+        process.alias("process"), get("processID").try_cast("bigint").alias("pid"), get("eventMessage").alias("body"))
+    if level is not None:
+        hidden = {"default": ("Info", "Debug"), "info": ("Debug",), "debug": ()}[level]
+        rows = rows.where(~F.coalesce(F.col("level").isin(*hidden), F.lit(False))) if hidden else rows
+    if subsystems:
+        rows = rows.where(F.col("subsystem").isin(*subsystems))
+    return rows.where(F.col("process").isin(*processes)) if processes else rows

@@ -10,6 +10,8 @@ from silt.schema import CRI_STREAM, CRI_TIMESTAMP, SOURCE_ID, SOURCE_PATHS
 
 #: Longest message, in bytes, that chunks are joined to.
 MESSAGE_BYTES = 2 << 20
+#: Places of a file, line numbers as read_lines gives them, that are counted by one task.
+STRETCH = 1 << 20
 CRI = r"^(\S+) (stdout|stderr) ([FP])(?: (.*))?$"
 
 
@@ -154,15 +156,21 @@ def reassemble(lines: DataFrame) -> DataFrame:
     """Whole messages of CRI lines (value, path, line_no): path, line_no, time and stream of the closing chunk, message.
 
     Chunks of one file and stream are joined up to a closing one; a line that is no CRI line drops what is open in its
-    file; a message stops at MESSAGE_BYTES, and `truncated` says so. A file is the unit of work, as its lines are in
-    order; only its chunks, not its whole lines, are gathered: closing lines that stand alone pass by.
+    file; a message stops at MESSAGE_BYTES, and `truncated` says so. Lines are counted in stretches of a file, STRETCH
+    places each, and the counts before a stretch come from the stretches' totals, so a large file is many tasks' work.
     """
     parsed = lines.select("path", "line_no", *cri_fields(F.col("value")))
-    by_file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    parsed = parsed.withColumn("epoch", F.count_if(~F.col("ok")).over(by_file)).where("ok")
-    by_stream = Window.partitionBy("path", "stream", "epoch").orderBy("line_no")
-    before = by_stream.rowsBetween(Window.unboundedPreceding, -1)
-    parsed = parsed.withColumn("grp", F.coalesce(F.count_if(F.col("flag") == "F").over(before), F.lit(0)))
+    parsed = parsed.withColumn("stretch", F.floor(F.col("line_no") / STRETCH))
+    closing = lambda of: F.count_if((F.col("flag") == "F") & (F.col("stream") == of))
+    totals = parsed.groupBy("path", "stretch").agg(F.count_if(~F.col("ok")).alias("bad"), closing("stdout").alias("out"), closing("stderr").alias("err"))
+    before = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bad", "out", "err")]
+    parsed = parsed.join(totals.select("path", "stretch", *sums), ["path", "stretch"])
+    here = Window.partitionBy("path", "stretch").orderBy("line_no")
+    parsed = parsed.withColumn("epoch", F.col("bad_before") + F.count_if(~F.col("ok")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    of_stream = Window.partitionBy("path", "stretch", "stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.count_if(F.col("flag") == "F").over(of_stream), F.lit(0))
+    parsed = parsed.where("ok").withColumn("grp", closed + F.when(F.col("stream") == "stdout", F.col("out_before")).otherwise(F.col("err_before")))
     chunk = F.struct("line_no", "message", "flag", "time")
     joined = parsed.groupBy("path", "stream", "epoch", "grp").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
     last = F.element_at("chunks", -1)

@@ -1,6 +1,7 @@
 import gzip
 import ipaddress
 import json
+import random
 import socket
 import struct
 import threading
@@ -386,6 +387,25 @@ def test_long_messages_are_cut_at_a_character(spark, monkeypatch):
     assert out == [("äääää", True), ("12345678", True), ("1234567890", False)]
 
 
+def test_chunks_across_stretches_of_a_file(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = ["broken" if rng.random() < 0.05 else f"t {rng.choice(['stdout', 'stderr'])} {rng.choice('FPP')} {k}," for k in range(400)]
+    open_, want = {"stdout": "", "stderr": ""}, []
+    for k, row in enumerate(rows):
+        if row == "broken":
+            open_ = dict.fromkeys(open_, "")
+            continue
+        _, stream, flag, message = row.split(" ")
+        open_[stream] += message
+        if flag == "F":
+            want.append((k, stream, open_[stream]))
+            open_[stream] = ""
+    for stretch in (1 << 20, 64, 7, 1):
+        monkeypatch.setattr(text, "STRETCH", stretch)
+        out = text.reassemble(lines(spark, rows)).orderBy("line_no").collect()
+        assert [(r["line_no"], r["stream"], r["message"]) for r in out] == want
+
+
 def test_star_of_shuffled_rows(spark):
     df = spark.range(3000).selectExpr("id AS event_id", "'m' || id AS message", "id % 7 AS `resource.attributes.pod`")
     df = df.repartition(11).groupBy("event_id", "message", "`resource.attributes.pod`").agg(F.count(F.lit(1)).alias("n"))

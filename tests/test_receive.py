@@ -12,7 +12,7 @@ import zstandard
 from silt import __main__ as cli
 from silt.operators import star
 from silt.sinks import encode
-from silt.sources import otlp, otlp_wire, receive, schemas, text
+from silt.sources import chunk, otlp, otlp_wire, receive, schemas, segment, text
 
 
 def post(port, body, path="/in", **headers):
@@ -89,3 +89,32 @@ def test_command_line(tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["nope"])
     assert "ok: default" in capsys.readouterr().out
+
+
+def test_chunks():
+    parts = [b"", b"a" * 10_000, bytes(range(256))]
+    data = b"".join(map(chunk.pack, parts))
+    assert list(chunk.unpack(data)) == parts and data[:4] == b"FL\x01\x01"
+    for broken in (data[:-1], data[:20] + b"x" + data[21:], b"XX" + data[2:], data + b"FL"):
+        with pytest.raises(chunk.ChunkError):
+            list(chunk.unpack(broken))
+
+
+def test_segments(spark, tmp_path):
+    batches = [pa.record_batch({"a": [k, k + 1], "b": ["x", None]}) for k in range(3)]
+    data = segment.pack(batches, 7, "SELECT 1", 99)
+    s = segment.unpack(data)
+    assert (s.segment_id, s.created_ms, s.rows, s.sql_hash) == (7, 99, 6, segment.sql_hash("SELECT 1")) and s.batches == batches
+    assert len(data) > 64 and data[:4] == data[-8:-4] == b"LCHK"
+    files = {7: data, 8: data[:-5], 9: data[:70] + bytes([data[70] ^ 1]) + data[71:], 10: data[:4] + b"\x02" + data[5:], 11: segment.pack([], 11)}
+    for k, x in files.items():
+        (tmp_path / segment.NAME.format(k)).write_bytes(x)
+    (tmp_path / "other.txt").write_bytes(b"x")
+    found = segment.read(spark, str(tmp_path))
+    kinds = {r["name"]: r["status"] for r in segment.status(found).collect()}
+    assert [kinds[segment.NAME.format(k)] for k in files] == ["ok", "incomplete", "corrupt", "unsupported", "ok"] and len(kinds) == 5
+    sound = found.where("name < 'seg-0000000010'")
+    assert segment.rows_of(sound, "a bigint, b string", "SELECT 1").count() == 6
+    for df, sql in ((sound, "SELECT 2"), (found, None)):
+        with pytest.raises(Exception, match="another SQL|unsupported"):
+            segment.rows_of(df, "a bigint, b string", sql).count()
