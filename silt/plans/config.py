@@ -151,7 +151,8 @@ def read_input(spark: SparkSession, i: dict, style: str = "none") -> DataFrame:
 
         rows = [(x, "stdin", n) for n, x in enumerate(sys.stdin.read().splitlines()) if x]
         lines = spark.createDataFrame(rows, "value string, path string, line_no bigint")
-    elif str(i["path"]).endswith((".zst", ".zstd", ".sz", ".snappy")):
+    elif i["type"] == "s3" or str(i["path"]).endswith((".zst", ".zstd", ".sz", ".snappy")):
+        # Objects tell their codec by their first bytes, whatever they are called.
         lines = text.read_packed(spark, i["path"])
     else:
         lines = text.read_lines(spark, i["path"])

@@ -30,21 +30,31 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where("value <> ''")
 
 
+#: First bytes of compressed files; snappy here is the framing format, a bare block has none.
+_SIGNS = ((b"\x1f\x8b", "gzip"), (b"\x28\xb5\x2f\xfd", "zstd"))
+_ENDINGS = {".gz": "gzip", ".zst": "zstd", ".zstd": "zstd", ".sz": "snappy", ".snappy": "snappy"}
+
+
+def codec_of(path: str, content: bytes) -> str | None:
+    """The codec of a file: by its extension, else by its first bytes, whatever it is called."""
+    named = next((c for e, c in _ENDINGS.items() if path.endswith(e)), None)
+    signed = next((c for sign, c in _SIGNS if content.startswith(sign)), None)
+    return signed if named in (None, "gzip", "zstd") else named
+
+
 def read_packed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """value, path and line_no of gzip, zstd and snappy files, told by extension; each file is unpacked by one task."""
+    """value, path and line_no of gzip, zstd and snappy files, and of plain ones among them; each is unpacked by one task."""
     from collections.abc import Iterator
 
     import pandas as pd
 
     from silt.sources.receive import decompressed
 
-    codecs = {".gz": "gzip", ".zst": "zstd", ".zstd": "zstd", ".sz": "snappy", ".snappy": "snappy"}
-
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
-                codec = next((c for e, c in codecs.items() if path.endswith(e)), None)
-                rows = decompressed(bytes(content), codec).decode("utf-8", "replace").split("\n")
+                data = bytes(content)
+                rows = decompressed(data, codec_of(path, data[:8])).decode("utf-8", "replace").split("\n")
                 rows = [(r.removesuffix("\r"), path, n) for n, r in enumerate(rows) if r.strip("\r")]
                 yield pd.DataFrame(rows, columns=["value", "path", "line_no"])
 

@@ -118,3 +118,10 @@ def test_segments(spark, tmp_path):
     for df, sql in ((sound, "SELECT 2"), (found, None)):
         with pytest.raises(Exception, match="another SQL|unsupported"):
             segment.rows_of(df, "a bigint, b string", sql).count()
+
+
+def test_packed_files_by_their_first_bytes(spark, tmp_path):
+    files = {"a": gzip.compress(b"1\n2\n"), "b.gz": b"3\r\n", "c.zst": zstandard.ZstdCompressor().compress(b"4\n\n5"), "d": zstandard.ZstdCompressor().compress(b"6")}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    assert sorted(r["value"] for r in text.read_packed(spark, str(tmp_path)).collect()) == list("123456")
