@@ -199,8 +199,9 @@ def generator_logs(spark, sf_dir):
 
 @query("""SELECT (CAST(1000000000000000000 AS BIGINT) + event_id) AS timestamp, event_type AS level, props AS body, CAST(user_id AS VARCHAR) AS uid FROM events""")
 def otlp_roundtrip(spark, sf_dir):
+    # Spread first: requests are made and read partition by partition, and the table is one file.
     stamp = (F.lit(10**18) + F.col("event_id")).cast("string").alias("timestamp")
-    flat = events(spark, sf_dir).select(stamp, F.col("event_type").alias("level"), F.col("props").alias("body"), F.col("user_id").alias("uid"), F.lit("x").alias("resource.attributes.host"))
+    flat = events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).select(stamp, F.col("event_type").alias("level"), F.col("props").alias("body"), F.col("user_id").alias("uid"), F.lit("x").alias("resource.attributes.host"))
     return otlp.read_requests(encode.otlp_requests(flat), ["uid"], ["host"]).select("timestamp", "level", "body", "uid")
 
 
