@@ -26,6 +26,11 @@ def _map(attributes: Column) -> Column:
     return F.map_from_entries(F.coalesce(first, F.array().cast("array<struct<key:string,value:string>>")))
 
 
+def _first(attributes: Column, key: str) -> Column:
+    """The value of the first attribute of a name."""
+    return _any(F.get(F.filter(attributes, lambda a: a["key"] == key), F.lit(0))["value"])
+
+
 def read_requests(requests: DataFrame, attributes: list[str] = (), resources: list[str] = ()) -> DataFrame:
     """A row for each log record of requests (value: JSON text), with the attributes and resource attributes named.
 
@@ -35,13 +40,14 @@ def read_requests(requests: DataFrame, attributes: list[str] = (), resources: li
     s = r.select(F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeLogs").alias("s"))
     rec = s.select("resource", "s.scope", F.explode("s.logRecords").alias("l"))
     event, seen = F.col("l.timeUnixNano").try_cast("bigint"), F.col("l.observedTimeUnixNano").try_cast("bigint")
-    out = rec.select(
+    kept = [
         F.coalesce(F.when(event > 0, event), seen).alias("timestamp"), seen.alias("observed_timestamp"),
         F.col("l.severityText").alias("level"), F.col("l.severityNumber").alias("severity_number"), _any(F.col("l.body")).alias("body"),
         F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"), F.col("l.flags").alias("flags"),
         F.col("scope.name").alias("scope.name"), F.col("scope.version").alias("scope.version"),
         _map(F.col("l.attributes")).alias("attributes"), _map(F.col("resource")).alias("resource"),
-    )
-    named = [F.try_element_at("attributes", F.lit(a)).alias(a) for a in attributes]
-    named += [F.try_element_at("resource", F.lit(a)).alias(f"resource.attributes.{a}") for a in resources]
-    return out.select(*[F.col(f"`{c}`") for c in out.columns], *named)
+    ]
+    # Attributes by name are looked up in the list: where the maps aren't read, none is built.
+    named = [_first(F.col("l.attributes"), a).alias(a) for a in attributes]
+    named += [_first(F.col("resource"), a).alias(f"resource.attributes.{a}") for a in resources]
+    return rec.select(*kept, *named)
