@@ -121,6 +121,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     "outer_apply": (
         "SELECT n_name, big.least FROM nation OUTER APPLY (SELECT MIN(s_suppkey) AS least FROM supplier WHERE s_nationkey = n_nationkey) AS big",
         "SELECT n_name, big.least FROM nation LEFT JOIN LATERAL (SELECT MIN(s_suppkey) AS least FROM supplier WHERE s_nationkey = n_nationkey) AS big ON true"),
+    "asof_sql": (
+        "SELECT o.o_orderkey, p.ts AS seen FROM orders o ASOF JOIN logs p MATCH_CONDITION (o.o_orderdate >= p.ts) ON o.o_custkey = p.user_id WHERE o.o_totalprice > 500",
+        "SELECT o_orderkey, (SELECT MAX(ts) FROM events WHERE user_id = o_custkey AND ts <= o_orderdate) AS seen FROM orders WHERE o_totalprice > 500"),
     "join_three": (
         "SELECT r_name, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", None),
     # Windows.
@@ -171,6 +174,11 @@ SQL: dict[str, tuple[str, str | None]] = {
     "json_table": (
         "SELECT event_id, k FROM logs, LATERAL explode(json_object_keys(props)) AS t(k)",
         "SELECT event_id, unnest(json_keys(props)) AS k FROM events"),
+    "json_table_columns": (
+        """SELECT event_id, t.k, t.n, t.label, t.place FROM logs, JSON_TABLE(concat('{"rows":[', props, ',{"label":"', event_type, '"}]}'), '$.rows[*]'
+            COLUMNS (k BIGINT PATH '$.k', n INT PATH '$.none', label VARCHAR(20), place FOR ORDINALITY)) AS t WHERE event_id < 500""",
+        """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS INTEGER) AS n, CAST(NULL AS VARCHAR) AS label, 1 AS place FROM events
+            WHERE event_id < 500 UNION ALL SELECT event_id, NULL, NULL, event_type, 2 FROM events WHERE event_id < 500"""),
     # Functions.
     "int_cast": (
         "SELECT event_id, int(regexp_extract(props, '([0-9]+)', 1)) AS k, int(event_type) AS none FROM logs",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from silt.functions import scalar
+from silt.plans import asof
 from silt.plans.dialect import translate
 from silt.schema import normalize_conflicts
 
@@ -40,14 +41,18 @@ def run_sql(sql: str, logs: DataFrame, tables: Mapping[str, DataFrame] | None =
     if spark.conf.get(QUOTED, "false") != "true":
         spark.conf.set(QUOTED, "true")
     scalar.register(spark)
-    views = {n: f"silt_{uuid.uuid4().hex}" for n in [LOGS, *tables]}
-    for name, df in {LOGS: normalize_conflicts(logs), **tables}.items():
+    named = {LOGS: normalize_conflicts(logs), **tables}
+    sql, matches = asof.rewrite(sql, named)
+    named |= matches
+    views = {n: f"silt_{uuid.uuid4().hex}" for n in named}
+    for name, df in named.items():
         df.createOrReplaceTempView(views[name])
     try:
         out = spark.sql(with_tables(translate(sql), views))
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)
+    out = out.drop(asof.AT)
     if twice := [n for n, k in Counter(c.lower() for c in out.columns).items() if k > 1]:
         raise PlanError(f"two output columns are called {twice[0]}")
     return out.toDF(*out.columns)

@@ -379,6 +379,21 @@ def test_tables_may_be_hidden_by_a_query_of_its_own(spark):
     assert run_sql("(SELECT i FROM logs) UNION ALL SELECT n FROM names", logs, {"names": names}).count() == 8
 
 
+def test_asof_joins_in_sql(spark):
+    logs = spark.createDataFrame([(1, 5), (1, 9), (2, 1), (3, 4), (1, 5), (1, None)], "k int, ts int")
+    seen = spark.createDataFrame([(1, 4, "a"), (1, 6, "b"), (2, 3, "c"), (1, 9, "d")], "key int, at int, v string")
+    for on in ("MATCH_CONDITION (logs.ts >= s.at) ON logs.k = s.key", "MATCH_CONDITION (s.at <= logs.ts) ON s.key = logs.k"):
+        out = run_sql(f"SELECT *, upper(s.v) AS u FROM logs ASOF JOIN seen AS s {on} WHERE logs.k < 9", logs, {"seen": seen})
+        assert out.columns == ["k", "ts", "key", "at", "v", "u"]
+        want = {(1, 5, "a"), (1, 9, "d"), (2, 1, None), (3, 4, None), (1, None, None)}
+        assert out.count() == 6 and {(r["k"], r["ts"], r["v"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    for bad in ("ASOF JOIN seen s ON logs.k = s.key", "ASOF JOIN (SELECT 1) s MATCH_CONDITION (logs.ts >= s.at) ON logs.k = s.key", "ASOF JOIN seen s MATCH_CONDITION (ts >= at) ON logs.k = s.key"):
+        with pytest.raises(ValueError):
+            run_sql(f"SELECT logs.k FROM logs {bad}", logs, {"seen": seen})
+
+
 def test_long_messages_are_cut_at_a_character(spark, monkeypatch):
     monkeypatch.setattr(text, "MESSAGE_BYTES", 10)
     rows = [("t stdout P ", "ää"), ("t stdout F ", "ääää"), ("t stderr F ", "12345678€"), ("t stderr F ", "1234567890")]
