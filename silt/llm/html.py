@@ -43,6 +43,8 @@ from silt.llm.common import as_bytes, input_bytes, shuffle_partitions, slices
 CHROME, OUTSIDE, MAIN, ARTICLE = 0, 1, 2, 3
 #: Partitions of pages, at most: a task streams its pages, so larger ones take time, not memory.
 MOST_PARTITIONS = 16_384
+#: Pages of a partition, about, at least.
+LEAST_PAGES = 64
 
 #: An unclosed tag, quoted value or comment goes on to the end of the page, so no start of one is read twice.
 _TAG = re.compile(
@@ -440,8 +442,8 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple] = []  # pages before, and those that wait for the ones after them
     at, tail = 0, None
-    for row in _rows(batches, uses):
-        if tail is None:
+    for n, row in enumerate(_rows(batches, uses)):
+        if not n:
             held, tail = edge(row[5]), row[6]
             at = len(held)
         page = parse(row[4])
@@ -466,6 +468,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) for every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     n = max(shuffle_partitions(spark), min(MOST_PARTITIONS, -(-input_bytes(pages) // (16 << 20))))
+    # A partition must hold the neighbours of the next one's pages.
+    n = max(1, min(n, pages.count() // LEAST_PAGES))
     url = F.coalesce(F.col("url"), F.lit(""))
     ranged = (
         pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")

@@ -119,7 +119,9 @@ def _sorted_hosts(rows):
         yield i, pages[k], pages[k].summary(), html.nearest(path, before, after)
 
 
-def test_pairing_over_random_hosts(spark):
+@pytest.mark.parametrize("partitions", ["1", "4", "200"])
+def test_pairing_over_random_hosts(spark, partitions, monkeypatch):
+    monkeypatch.setattr(html, "LEAST_PAGES", 15)
     rng = np.random.default_rng(6)
     rows = []
     for i in range(150):
@@ -127,7 +129,11 @@ def test_pairing_over_random_hosts(spark):
         page = "".join(f"<p>line{rng.integers(0, 12)}</p>" for _ in range(rng.integers(0, 7)))
         rows.append((i, f"http://{host}/{path}?{i:03d}", page))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = {r["page_id"]: r["text"] for r in html.extract_main_text(df.repartition(9)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = {r["page_id"]: r["text"] for r in html.extract_main_text(df.repartition(9)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out == {i: "\n".join(html.differenced(page, near, own)) for i, page, own, near in _sorted_hosts(rows)}
 
 
