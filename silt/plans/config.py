@@ -221,7 +221,8 @@ def write_output(df: DataFrame, o: dict) -> None:
     elif kind == "loki":
         labels = o.get("label_columns") or o.get("labels_from") or {}
         labels = labels if isinstance(labels, dict) else {c: c for c in labels}
-        deliver.to_loki(df, deliver.http_send(o["endpoint"].rstrip("/") + "/loki/api/v1/push"), labels, o.get("static_labels"))
+        send = deliver.http_send(o["endpoint"].rstrip("/") + "/loki/api/v1/push")
+        deliver.to_loki(df, send, labels, o.get("static_labels"), state=o.get("state"))
     elif kind == "otlp":
         deliver.to_otlp(df, deliver.http_send(o["endpoint"]), o.get("encoding", "protobuf") == "protobuf", o.get("compression", "none"))
     elif kind == "arrow_ipc":
@@ -307,8 +308,9 @@ def serve(spark: SparkSession, p: Pipeline, folder: str, interval: str = "1 seco
         os.makedirs(spool, exist_ok=True)
         out.receivers.append(receiver(i, spool))
 
-        def sink(df: DataFrame, _: int) -> None:
-            status = deliver.fan_out(df, {f"{k}:{o['type']}": lambda d, o=o: write_output(d, o) for k, o in enumerate(p.outputs)})
+        def sink(df: DataFrame, _: int, n=n) -> None:
+            outputs = {f"{k}:{o['type']}": {"state": f"{folder}/{n}-{k}-state"} | o for k, o in enumerate(p.outputs)}
+            status = deliver.fan_out(df, {k: lambda d, o=o: write_output(d, o) for k, o in outputs.items()})
             if failed := {k: v for k, v in status.items() if v != "ok"}:
                 raise RuntimeError(f"not delivered: {failed}")
 

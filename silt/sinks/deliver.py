@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from silt.sinks import encode
 from silt.sources import arrow_ipc
+from silt.store import Versions, written
 
 #: Bytes of one datagram.
 DATAGRAM = 1400
@@ -118,10 +119,24 @@ def _take(send: Send, data: bytes, headers: Mapping[str, str], tries: int, what:
         time.sleep(outcome.after or 0.1 * 2**attempt)
 
 
-def to_loki(df: DataFrame, send: Send, labels: Mapping[str, str], static: Mapping[str, str] | None = None, observed_ns: int | None = None) -> None:
-    """Labelled streams as push requests of about 1 MiB."""
-    rows = encode.streams(df, dict(labels), dict(static or {}), time.time_ns() if observed_ns is None else observed_ns)
+def to_loki(
+    df: DataFrame, send: Send, labels: Mapping[str, str], static: Mapping[str, str] | None = None, observed_ns: int | None = None,
+    state: str | None = None,
+) -> None:
+    """Labelled streams as push requests of about 1 MiB.
+
+    state: a folder that keeps the last time of each stream, so that times grow across batches too; it is brought up to
+    date once a batch is delivered.
+    """
+    spark = df.sparkSession
+    kept = Versions(spark, state) if state else None
+    before = kept.last() if kept else None
+    rows = encode.streams(df, dict(labels), dict(static or {}), time.time_ns() if observed_ns is None else observed_ns, before)
+    if kept:
+        rows = written(rows)
     post_each(encode.pushes(rows), send, "application/json")
+    if kept:
+        kept.put(encode.last_times(rows, before))
 
 
 def to_otlp(df: DataFrame, send: Send, protobuf: bool = True, codec: str = "none", observed_ns: int | None = None) -> None:

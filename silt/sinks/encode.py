@@ -164,12 +164,15 @@ def label_name(name: str) -> str:
     return "_" + clean if clean[:1].isdigit() else clean
 
 
-def streams(df: DataFrame, labels: dict[str, str], static: dict[str, str] | None = None, observed_ns: int = 0) -> DataFrame:
+def streams(
+    df: DataFrame, labels: dict[str, str], static: dict[str, str] | None = None, observed_ns: int = 0, after: DataFrame | None = None
+) -> DataFrame:
     """Rows by label set: labels (a map), ns and line, with times strictly growing within a stream.
 
     Times come from _timestamp, @timestamp or another time column, else the observed one (also for negative numbers);
     a time not above the one before becomes that plus one. That is a running maximum of time less place, over one
-    window in time order. labels: {column: label}; empty values have no label.
+    window in time order. labels: {column: label}; empty values have no label. after: the last time of streams in batches
+    before this one (see last_times), which these must pass.
     """
     have = {c.lower(): c for c in df.columns}
     time = next((have[c] for c in ("_timestamp", "@timestamp", "timestamp", "time", "ts") if c in have), None)
@@ -184,8 +187,18 @@ def streams(df: DataFrame, labels: dict[str, str], static: dict[str, str] | None
     w = Window.partitionBy("silt_labels").orderBy("silt_ns", "silt_id")
     place = F.row_number().over(w)
     rows = rows.withColumn("silt_place", place).withColumn("silt_free", F.col("silt_ns") - F.col("silt_place"))
-    grown = F.max("silt_free").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("silt_place")
-    return rows.select(F.map_from_entries("silt_labels").alias("labels"), grown.alias("ns"), "line")
+    least = F.max("silt_free").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("silt_least", least).withColumn("labels", F.map_from_entries("silt_labels"))
+    if after is not None:
+        rows = rows.join(after.select(F.col("stream").alias("silt_stream"), F.col("ns").alias("silt_last")), F.to_json("labels") == F.col("silt_stream"), "left")
+        rows = rows.withColumn("silt_least", F.greatest("silt_least", "silt_last"))
+    return rows.select("labels", (F.col("silt_least") + F.col("silt_place")).alias("ns"), "line")
+
+
+def last_times(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """stream (its labels as JSON) and ns, the last time of each stream of labelled rows, and of those before."""
+    now = rows.select(F.to_json("labels").alias("stream"), "ns")
+    return (now if before is None else now.unionByName(before)).groupBy("stream").agg(F.max("ns").alias("ns"))
 
 
 def pushes(rows: DataFrame, limit: int = PUSH_BYTES) -> DataFrame:

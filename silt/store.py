@@ -31,3 +31,31 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Versions:
+    """A small table in a folder, replaced as a whole: each version is a folder of its own, the last whole one counts."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root, name)
+
+    def _whole(self) -> list[int]:
+        if not self.fs.exists(self.root):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.root)]
+        return sorted(int(n) for n in names if n.isdigit() and self.fs.exists(self._at(f"{n}/_SUCCESS")))
+
+    def last(self) -> DataFrame | None:
+        found = self._whole()
+        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+
+    def put(self, df: DataFrame) -> None:
+        found = self._whole()
+        df.write.mode("overwrite").parquet(f"{self.path}/{found[-1] + 1 if found else 0}")
+        for n in found:
+            self.fs.delete(self._at(str(n)), True)

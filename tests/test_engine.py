@@ -537,6 +537,21 @@ def test_posted_outputs(spark):
     assert len(by["/", "application/x-ndjson"][0].splitlines()) == 3 and len(by["/_bulk", "application/x-ndjson"][0].splitlines()) == 6
 
 
+def test_times_of_a_stream_grow_across_batches(spark, tmp_path):
+    sink = _Sink()
+    for batch in ([(5, "a"), (7, "a"), (1, "b")], [(6, "a"), (9, "a"), (3, "b"), (2, "c")], [(8, "a")]):
+        rows = spark.createDataFrame([(str(t * 10**18), app) for t, app in batch], "_timestamp string, app string")
+        deliver.to_loki(rows, deliver.http_send(sink.url), {"app": "app"}, state=str(tmp_path / "state"))
+    sink.server.shutdown()
+    times = {}
+    for _, _, body in sink.got:
+        for s in json.loads(body)["streams"]:
+            times.setdefault(s["stream"]["app"], []).extend(int(t) for t, _ in s["values"])
+    e = 10**18
+    assert times == {"a": [5 * e, 7 * e, 7 * e + 1, 9 * e, 9 * e + 1], "b": [e, 3 * e], "c": [2 * e]}
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == 1
+
+
 def test_pushes_are_cut_by_size(spark):
     rows = spark.range(500).selectExpr("CAST(id AS STRING) AS _timestamp", "CAST(id % 3 AS STRING) AS app", "repeat('x', 90) AS message")
     bodies = [json.loads(r["value"]) for r in encode.pushes(encode.streams(rows, {"app": "app"}), 5000).collect()]
