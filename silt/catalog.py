@@ -168,6 +168,12 @@ SQL: dict[str, tuple[str, str | None]] = {
     "pivot": (
         "SELECT * FROM (SELECT user_id, event_type, value FROM logs) PIVOT (COUNT(value) FOR event_type IN ('click' AS click, 'view' AS view))",
         "SELECT user_id, COUNT(value) FILTER (WHERE event_type = 'click') AS click, COUNT(value) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id"),
+    "pivot_any": (
+        "SELECT * FROM (SELECT user_id % 10 AS k, event_type, value FROM logs) PIVOT (COUNT(value) FOR event_type IN (ANY))",
+        "PIVOT (SELECT user_id % 10 AS k, event_type, value FROM events) ON event_type USING COUNT(value) GROUP BY k"),
+    "pivot_subquery": (
+        "SELECT * FROM (SELECT user_id % 10 AS k, event_type, value FROM logs) PIVOT (COUNT(value) FOR event_type IN (SELECT event_type FROM logs WHERE event_type LIKE 'c%' GROUP BY event_type))",
+        "SELECT user_id % 10 AS k, COUNT(value) FILTER (WHERE event_type = 'click') AS click FROM events GROUP BY k"),
     "unpivot": (
         "SELECT * FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (amount FOR what IN (size, price))",
         "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from silt.functions import scalar
-from silt.plans import asof
+from silt.plans import asof, pivot
 from silt.plans.dialect import translate
 from silt.schema import normalize_conflicts
 
@@ -48,6 +48,7 @@ def run_sql(sql: str, logs: DataFrame, tables: Mapping[str, DataFrame] | None =
     for name, df in named.items():
         df.createOrReplaceTempView(views[name])
     try:
+        sql = pivot.rewrite(sql, lambda q: [r[0] for r in spark.sql(with_tables(translate(q), views)).collect()])
         out = spark.sql(with_tables(translate(sql), views))
     finally:
         for view in views.values():
