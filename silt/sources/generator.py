@@ -13,6 +13,7 @@ PATHS = ("/api/v1/users", "/api/v1/orders", "/api/v2/products", "/health", "/api
 METHODS = ("GET", "POST", "PUT", "DELETE")
 SERVICES = ("myapp", "gateway", "auth-svc")
 REQUEST_STEP = 0x517CC1B727220A95
+CONTENT_TYPE, TAG, UPSTREAMS = "application/json", "web", ("10.0.0.1", "10.0.0.2")
 
 
 def _pick(i: Column, values: tuple[str, ...]) -> Column:
@@ -60,10 +61,10 @@ def logs_of(
         # Nested values as raw JSON text, as a scan of the JSON rows gives them; every fifth row, else every seventh.
         five, seven = i % 5 == 0, (i % 5 != 0) & (i % 7 == 0)
         text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-        headers = text('{"content-type":"application/json","x-request-id":"', _wrapped_hex(i, REQUEST_STEP), '"}')
-        tags = text('["web","', _pick(i, SERVICES), '","', _pick(i, LEVELS), '"]')
-        upstream = text('[{"host":"10.0.0.1","latency_ms":', (F.lit(1) + (i * 19) % 200).cast("string"),
-                        '},{"host":"10.0.0.2","latency_ms":', (F.lit(1) + (i * 13) % 500).cast("string"), "}]")
+        headers = text(f'{{"content-type":"{CONTENT_TYPE}","x-request-id":"', _wrapped_hex(i, REQUEST_STEP), '"}')
+        tags = text(f'["{TAG}","', _pick(i, SERVICES), '","', _pick(i, LEVELS), '"]')
+        upstream = text(f'[{{"host":"{UPSTREAMS[0]}","latency_ms":', (F.lit(1) + (i * 19) % 200).cast("string"),
+                        f'}},{{"host":"{UPSTREAMS[1]}","latency_ms":', (F.lit(1) + (i * 13) % 500).cast("string"), "}]")
         cols += [(F.lit(128) + (i * 17) % 8192).alias("bytes_in"), (F.lit(64) + (i * 31) % 4096).alias("bytes_out")]
         cols += [F.when(five, headers).alias("headers"), F.when(five, tags).alias("tags"), F.when(seven, upstream).alias("upstream")]
     elif complexity != "simple":
